@@ -5,19 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import host_rules, html_extract
-from .common import table
+from . import compression, host_rules, html_extract, language
+from .common import held_out, table
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, aside = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"))
+    return language.identify(docs, language.train(docs, ~aside), aside)
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, aside = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"))
+    model = compression.train(docs, table(spark, sf_dir, "labels"), ~aside)
+    scored = compression.score(docs.select("doc_id", "text", aside.alias("held_out")), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op9_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op3_language_id, op8_quality_classifier, op9_quality_rules)}
 
 ORACLES: dict[str, str] = {}
