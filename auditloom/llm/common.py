@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +46,28 @@ def held_out(doc_id: Column) -> Column:
 def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marks df for broadcast if it has been counted and is small enough, else leaves the join to Spark."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
+
+
+def add_columns(df: DataFrame, column: str, make: Callable[[list], list[tuple]], fields: str, drop: bool = False) -> DataFrame:
+    """Adds columns made from one string column: make gets a batch of its values and gives a tuple for each.
+
+    The other columns pass through as they are, in Arrow, so that their nulls,
+    types and names don't matter; columns named like new ones are replaced.
+    """
+    new = [tuple(x.split()) for x in fields.split(", ")]
+    df = df.drop(*(name for name, _ in new))
+    kept = [f.name for f in df.schema if not (drop and f.name == column)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = list(zip(*make(batch.column(column).to_pylist()), strict=True)) or [()] * len(new)
+            arrays = [pa.array(x, ARROW[kind]) for x, (_, kind) in zip(made, new, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), *arrays], [*kept, *(name for name, _ in new)])
+
+    schema = df.select(*(f"`{x}`" for x in kept)).schema
+    for name, kind in new:
+        schema = schema.add(name, "integer" if kind == "int" else kind)
+    return df.mapInArrow(run, schema)

@@ -7,7 +7,6 @@ through a logistic curve fitted to labelled texts that no dictionary holds.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,6 +15,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import add_columns
+
 #: Bytes compressed at once; small, so that what counts is the dictionary and not the text's own past.
 PIECE = 2048
 DICTIONARY = 48 << 10
@@ -119,8 +120,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """The columns of docs and a column ``score`` of every row; null counts as the empty text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(score=[shared.value.score(x) for x in batch["text"]])
-
-    return docs.mapInPandas(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.drop('score').schema)}, score double")
+    return add_columns(docs, "text", lambda values: [(shared.value.score(x),) for x in values], "score double")

@@ -15,12 +15,12 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import add_columns
+
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes plaintext".split())
@@ -257,9 +257,7 @@ def extract(pages: DataFrame, column: str = "html") -> DataFrame:
     Null or blank html gives an empty text. Repeated rows stay repeated, other columns don't matter.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            text = [main_text(x) for x in batch.pop(column)]
-            yield batch.assign(text=text, n_chars=[len(x) for x in text])
+    def run(values: list[str | None]) -> list[tuple[str, int]]:
+        return [(text, len(text)) for text in map(main_text, values)]
 
-    return pages.select("page_id", "url", F.col(column)).mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return add_columns(pages.select("page_id", "url", F.col(column)), column, run, "text string, n_chars long", drop=True)

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import add_columns
+
 BITS = 14
 ORDERS = 3
 #: Characters that are turned into n-grams at once, which bounds the memory that a long text takes.
@@ -157,10 +159,5 @@ def identify(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row; null texts and texts without a letter are ``und`` with score 0."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [shared.value.predict(x) for x in batch.pop("text")]
-            yield batch.assign(lang_pred=[x for x, _ in found], score=[p for _, p in found])
-
     read = docs.select("doc_id", held_out.alias("held_out"), "text")
-    return read.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return add_columns(read, "text", lambda values: [shared.value.predict(x) for x in values], "lang_pred string, score double", drop=True)

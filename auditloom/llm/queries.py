@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, host_rules, html_extract, language
+from . import compression, host_rules, html_extract, language, pii, tiling
 from .common import held_out, table
 
 
@@ -20,6 +20,17 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.train(docs, ~aside), aside)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs.select("doc_id", "text"), pii.train(docs))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tiling.judge(docs, table(spark, sf_dir, "benchmark")).drop("text")
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, aside = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"))
     model = compression.train(docs, table(spark, sf_dir, "labels"), ~aside)
@@ -31,6 +42,6 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op3_language_id, op8_quality_classifier, op9_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op3_language_id, op4_pii, op5_benchmark_decontamination, op8_quality_classifier, op9_quality_rules)}
 
 ORACLES: dict[str, str] = {}
