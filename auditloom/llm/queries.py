@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, host_rules, html_extract, language, pii, tiling
+from . import compression, host_rules, html_extract, jaccard_join, language, pii, tiling
 from .common import held_out, table
 
 
@@ -31,6 +31,10 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return tiling.judge(docs, table(spark, sf_dir, "benchmark")).drop("text")
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, aside = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"))
     model = compression.train(docs, table(spark, sf_dir, "labels"), ~aside)
@@ -42,6 +46,6 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op3_language_id, op4_pii, op5_benchmark_decontamination, op8_quality_classifier, op9_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op3_language_id, op4_pii, op5_benchmark_decontamination, op6_ngram_jaccard_join, op8_quality_classifier, op9_quality_rules)}
 
 ORACLES: dict[str, str] = {}
