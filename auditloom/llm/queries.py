@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, host_rules, html_extract, jaccard_join, language, pii, tiling
+from . import compression, host_rules, html_extract, jaccard_join, language, mixing, pii, secrets_scan, span_dedup, tiling
 from .common import held_out, table
 
 
@@ -15,6 +15,10 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_sentences", "n_removed", "removed", "text")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, aside = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"))
     return language.identify(docs, language.train(docs, ~aside), aside)
@@ -35,6 +39,10 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_scan.digest(secrets_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, aside = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"))
     model = compression.train(docs, table(spark, sf_dir, "labels"), ~aside)
@@ -46,6 +54,25 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op3_language_id, op4_pii, op5_benchmark_decontamination, op6_ngram_jaccard_join, op8_quality_classifier, op9_quality_rules)}
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, aside = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"))
+    return mixing.mix(docs, table(spark, sf_dir, "labels").filter(~aside))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_html_extraction,
+        op2_substring_dedup,
+        op3_language_id,
+        op4_pii,
+        op5_benchmark_decontamination,
+        op6_ngram_jaccard_join,
+        op7_secret_scans,
+        op8_quality_classifier,
+        op9_quality_rules,
+        op10_mixing,
+    )
+}
 
 ORACLES: dict[str, str] = {}
