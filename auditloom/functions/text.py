@@ -1,7 +1,8 @@
 """Column functions on report text: years, amounts, growth rates, titles, keywords and number formats.
 
-Patterns are in Java's syntax; ``(?U)`` makes white space and word ends follow
-Unicode. Text that holds no value gives null.
+Patterns are in Java's syntax; white space is that of Unicode, written as a
+class, which is faster than the flag that makes all classes follow Unicode.
+Text that holds no value gives null.
 """
 
 from __future__ import annotations
@@ -12,27 +13,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # What the rules look for.
+WS = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 DASH = "[-–]"
-TRAILING_YEAR = rf"(?U){DASH}\s*(20[0-9]{{2}})\s*$"
-YEAR_RANGE = rf"(?U)(20[0-9]{{2}})\s*{DASH}\s*(20[0-9]{{2}})"
-YEAR_AFTER_BY = r"(?iU)\bby\s+(20[0-9]{2})\b"
-STATED_GROWTH = r"(?iU)cagr of\s+([0-9.]+)%"
-AMOUNT = r"usd\s+([0-9.]+)\s+(billion|million|thousand)"
+TRAILING_YEAR = rf"{DASH}{WS}*(20[0-9]{{2}}){WS}*$"
+YEAR_RANGE = rf"(20[0-9]{{2}}){WS}*{DASH}{WS}*(20[0-9]{{2}})"
+YEAR_AFTER_BY = rf"(?i)\bby{WS}+(20[0-9]{{2}})\b"
+STATED_GROWTH = rf"(?i)cagr of{WS}+([0-9.]+)%"
+AMOUNT = rf"usd{WS}+([0-9.]+){WS}+(billion|million|thousand)"
 #: In the order in which they are tried; a point stands for all but a line feed.
-START_AMOUNT = [rf"(?Ud)(?:valued at|estimated to be valued at|worth)\s+{AMOUNT}", rf"(?Ud)in\s+20[0-9]{{2}}.*?{AMOUNT}"]
-END_AMOUNT = [rf"(?Ud)reach\s+{AMOUNT}\s+by\s+20[0-9]{{2}}"]
+START_AMOUNT = [rf"(?:valued at|worth){WS}+{AMOUNT}", rf"(?d)in{WS}+20[0-9]{{2}}.*?{AMOUNT}"]
+END_AMOUNT = [rf"reach{WS}+{AMOUNT}{WS}+by{WS}+20[0-9]{{2}}"]
 UNITS = {"thousand": 1e3, "million": 1e6, "billion": 1e9}
 STOP_TOKENS = ["a", "an", "and", "for", "in", "of", "the", "to", "with", "global", "industry", "analysis", "report", "reports", "market", "markets"]
 
 
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
 
 
 def squeeze(c: Column) -> Column:
     """White space runs become one space, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), "^ | $", "")
+    return F.regexp_replace(F.regexp_replace(c, f"{WS}+", " "), "^ | $", "")
 
 
 def first_filled(*cs: Column) -> Column:
@@ -70,13 +72,17 @@ def stated_growth(c: Column) -> Column:
     return group(c, STATED_GROWTH).try_cast("double")
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def amount(c: Column, patterns: list[str]) -> Column:
     """The amount of the first pattern that matches, in single units."""
-    text = F.lower(c)
     units = F.create_map(*(F.lit(x) for pair in UNITS.items() for x in pair))
-    which = F.coalesce(*(F.when(text.rlike(p), F.lit(p)) for p in patterns))
-    found = F.coalesce(*(F.when(which == p, group(text, p).try_cast("double") * units[group(text, p, 2)]) for p in patterns))
-    return found
+    # The amount itself is read out of the match, which is short.
+    value = lambda m: group(m, AMOUNT).try_cast("double") * units[group(m, AMOUNT, 2)]
+    return once(F.lower(c), lambda text: once(F.coalesce(*(group(text, p, 0) for p in patterns)), value))
 
 
 def start_amount(c: Column) -> Column:

@@ -48,19 +48,20 @@ def parse_bodies(issues: DataFrame, key: str = "html_url") -> DataFrame:
     """Adds report_title, report_url, listed_date, page_publish_date and findings, read from the body."""
     lines = body_lines(issues, key)
     line, at = F.col("line"), F.col("at")
-    latest = lambda value, condition: F.max_by(value, F.when(condition, at))
+    latest = lambda value, condition: F.max(F.when(condition, F.struct(at.alias("at"), value.alias("text"))))
     after = lambda mark: strip(F.substring(line, F.lit(len(mark) + 1), F.length(line)))
-    metadata = lines.filter("kind = 'metadata'").groupBy(key).agg(*(latest(after(mark), line.startswith(mark)).alias(name) for name, mark in METADATA.items()))
 
     bullet = (F.col("kind") == "text") & line.startswith("- ")
     of_mode = lambda mode: bullet & (F.col("mode") == mode)
     plain = (F.col("kind") == "text") & ~(bullet & F.col("mode").isin(*MODES))
-    parts = lines.filter("section > 0").groupBy(key, "section").agg(
+    # Sections of a body are where its lines are, so that both groupings need no further shuffle.
+    parts = lines.groupBy(key, "section").agg(
         F.max(F.when(F.col("kind") == "heading", after("### "))).alias("heading"),
-        F.min_by(line, F.when(plain, at)).alias("explanation"),
-        latest(after("- "), of_mode("summary")).alias("uploader_summary"),
-        latest(after("- "), of_mode("instruction")).alias("correction_instruction"),
+        F.min(F.when(plain, F.struct(at.alias("at"), line.alias("text"))))["text"].alias("explanation"),
+        latest(after("- "), of_mode("summary"))["text"].alias("uploader_summary"),
+        latest(after("- "), of_mode("instruction"))["text"].alias("correction_instruction"),
         F.transform(F.array_sort(F.collect_list(F.when(of_mode("evidence"), F.struct(at.alias("at"), after("- ").alias("text"))))), lambda x: x["text"]).alias("evidence"),
+        *(latest(after(mark), (F.col("kind") == "metadata") & line.startswith(mark)).alias(name) for name, mark in METADATA.items()),
     )
     heading = F.col("heading")
     known = heading.rlike(HEADING)
@@ -76,8 +77,9 @@ def parse_bodies(issues: DataFrame, key: str = "html_url") -> DataFrame:
         named(3, F.lit("unknown")).alias("source"),
         F.col("evidence"),
     )
-    findings = parts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("section", finding.alias("finding")))), lambda x: x["finding"]).alias("findings"))
-    out = issues.join(metadata, key, "left").join(findings, key, "left")
+    sections = F.collect_list(F.when(F.col("section") > 0, F.struct("section", finding.alias("finding"))))
+    whole = parts.groupBy(key).agg(F.transform(F.array_sort(sections), lambda x: x["finding"]).alias("findings"), *(F.max(name)["text"].alias(name) for name in METADATA))
+    out = issues.join(whole, key, "left")
     out = out.withColumns({name: F.coalesce(name, F.lit(other)) for name, other in MISSING.items()})
     return out.withColumn("findings", F.coalesce("findings", F.array().cast(FINDINGS)))
 

@@ -35,6 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return read.select(*columns) if columns else read
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Dealt over all cores where a table comes in fewer splits than there are; large tables are left as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def text(c) -> F.Column:
     return F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
 
@@ -52,15 +58,13 @@ def report_rows(df: DataFrame, **columns) -> DataFrame:
 
 # --- rules on pages made of order lines
 
-UNIT = F.element_at(F.array(F.lit("thousand"), F.lit("million"), F.lit("billion")), (F.col("l_suppkey") % 3 + 1).cast("int"))
-
-
 def market_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page for each order line: amounts, growth and years out of its numbers."""
-    lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    lines = spread(table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     q, p = F.col("l_quantity").cast("int"), F.col("l_partkey")
-    end_unit = F.when(p % 7 == 0, "million").otherwise(UNIT)
-    meta = cat("Sales are estimated to be valued at USD ", p % 90 + 10, ".", p % 10, " ", UNIT, " and to reach USD ", p % 90 + 10 + q, ".5 ", end_unit, " by 2036, at a CAGR of ", q % 12, ".", p % 10, "%.")
+    unit = F.element_at(F.array(F.lit("thousand"), F.lit("million"), F.lit("billion")), (F.col("l_suppkey") % 3 + 1).cast("int"))
+    end_unit = F.when(p % 7 == 0, "million").otherwise(unit)
+    meta = cat("Sales are estimated to be valued at USD ", p % 90 + 10, ".", p % 10, " ", unit, " and to reach USD ", p % 90 + 10 + q, ".5 ", end_unit, " by 2036, at a CAGR of ", q % 12, ".", p % 10, "%.")
     return report_rows(
         lines,
         url=cat("r/", F.col("l_orderkey"), "/", F.col("l_linenumber")),
@@ -402,7 +406,7 @@ def q17b_digest_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def issue_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issue bodies as people may leave them: marks of old and new, lines out of place, bullets that overwrite."""
-    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderpriority")
+    orders = spread(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderpriority"))
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     body = F.concat_ws(
         "\n",
