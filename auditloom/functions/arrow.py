@@ -73,7 +73,9 @@ class _Reader(HTMLParser):
                 break
 
     def handle_data(self, data):
-        for _, pieces in self.open:
+        # What stands in a script or style is no text of the elements around it.
+        inner = self.open[-1:] if self.open and self.open[-1][0] in ("script", "style") else self.open
+        for _, pieces in inner:
             if pieces is not None:
                 pieces.append(data)
 

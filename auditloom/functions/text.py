@@ -94,9 +94,9 @@ def end_amount(c: Column) -> Column:
 
 
 def implied_growth(start: Column, end: Column, periods: Column) -> Column:
-    """Percent a year that leads from start to end; null unless both are positive and the result is finite."""
+    """Percent a year that leads from start to end; null unless both are positive, the periods are known and the result is finite."""
     growth = (F.pow(F.try_divide(end, start), F.lit(1.0) / F.greatest(periods, F.lit(1))) - 1) * 100
-    return F.when((start > 0) & (end > 0) & (F.abs(growth) < float("inf")), growth)
+    return F.when(periods.isNotNull() & (start > 0) & (end > 0) & (F.abs(growth) < float("inf")), growth)
 
 
 def contains_any(c: Column, words: Iterable[str]) -> Column:
@@ -138,7 +138,7 @@ def singular_title(c: Column) -> Column:
 
 def slug_title(url: Column) -> Column:
     """The last part of a url's path, hyphens as spaces."""
-    path = F.rtrim(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), F.lit("/"))
+    path = F.rtrim(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1), F.lit("/"))
     return squeeze(F.replace(F.element_at(F.split(path, "/"), -1), F.lit("-"), F.lit(" ")))
 
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.arrow import cards as read_cards
@@ -39,7 +40,7 @@ def fetched_pages(cards: DataFrame, timeout: float = 30.0) -> DataFrame:
         for batch in batches:
             yield batch.assign(html=[fetch(x, timeout).decode("utf-8", "replace") for x in batch["url"]])
 
-    return cards.mapInPandas(run, cards.schema.add("html", "string"))
+    return cards.mapInPandas(run, StructType([*cards.schema.fields, StructField("html", TEXT)]))
 
 
 def saved_pages(spark: SparkSession, path: str) -> DataFrame:
