@@ -56,9 +56,10 @@ def add_columns(df: DataFrame, column: str, make: Callable[[list], list[tuple]],
 
     The other columns pass through as they are, in Arrow, so that their nulls,
     types and names don't matter; columns named like new ones are replaced.
+    With drop, the column read is left out; a new one may take its name.
     """
     new = [tuple(x.split()) for x in fields.split(", ")]
-    df = df.drop(*(name for name, _ in new))
+    df = df.drop(*(name for name, _ in new if not (drop and name == column)))
     kept = [f.name for f in df.schema if not (drop and f.name == column)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

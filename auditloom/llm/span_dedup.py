@@ -138,10 +138,10 @@ def dedup(docs: DataFrame) -> DataFrame:
     docs = docs.drop("n_sentences", "n_removed", "removed")
     found = marks(docs).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.array_join(F.transform("marked", lambda x: F.concat_ws(":", x["at"], x["size"])), ",").alias("_marked"))
     joined = docs.withColumn("_own", text_key()).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")), "left").drop("_id", "_key", "_own")
-    read = joined.withColumn("_both", F.concat(F.coalesce("_marked", F.lit("")), F.lit("|"), "text")).drop("_marked", "text")
+    read = joined.withColumn("text", F.concat(F.coalesce("_marked", F.lit("")), F.lit("|"), "text")).drop("_marked")
 
     def run(values: list[str | None]) -> list[tuple]:
         return [cleaned(None, None) if x is None else cleaned(*x.split("|", 1)[::-1]) for x in values]
 
-    out = add_columns(read, "_both", run, "text string, n_sentences int, n_removed int, removed string", drop=True)
+    out = add_columns(read, "text", run, "text string, n_sentences int, n_removed int, removed string", drop=True)
     return out.select(*docs.columns, "n_sentences", "n_removed", "removed")

@@ -5,6 +5,8 @@
 3. decontamination: documents that hold a benchmark item, in whatever order, go;
 4. pii: personal data is replaced by its kind, and n_chars follows;
 5. mixing: every document gets the rate that brings the corpus to the target weights.
+
+All stages but the last return the five columns of documents; others are left out.
 """
 
 from __future__ import annotations
@@ -18,25 +20,28 @@ from auditloom.llm import compression, jaccard_join, mixing, pii, tiling
 from auditloom.llm.common import held_out, small_or_not, stored, table
 
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of a score of 0.7 or more; the classifier learns from the given documents that labels has."""
     model = compression.train(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id")))
-    return compression.score(docs, model).filter("score >= 0.7").select(*docs.columns)
+    return compression.score(docs.select(*COLUMNS), model).filter("score >= 0.7").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component the document of the smallest id. Rows that repeat an id stay or go together; a null id stays where it stands alone."""
     joined = jaccard_join.join(docs)
     gone = stored(joined.filter("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
-    return docs.join(small_or_not(gone), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small_or_not(gone), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return tiling.judge(docs, table(spark, sf_dir, "benchmark")).filter("not contaminated").select(*docs.columns)
+    return tiling.judge(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark")).filter("not contaminated").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.mask(docs, pii.train(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return pii.mask(docs.select(*COLUMNS), pii.train(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,132 @@
+import random
+import re
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from auditloom.llm import jaccard_join, span_dedup
+from auditloom.llm.components import components
+
+
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(words[i : i + 4]) for i in range(max(1, len(words) - 3))) if words else frozenset()
+
+
+def slow_components(rows):
+    """component of each position, by comparing all pairs."""
+    sets, root = [shingles(x) for _, x in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    own = defaultdict(list)
+    for i, (doc_id, _) in enumerate(rows):
+        own[find(i)].append(doc_id)
+    return [(doc_id, len(sets[i]), min((x for x in own[find(i)] if x is not None), default=None)) for i, (doc_id, _) in enumerate(rows)]
+
+
+def near_copies(n, size, rng, base=None):
+    base = base or [f"w{rng.randint(0, 10**6)}" for _ in range(size)]
+    out = []
+    for _ in range(n):
+        words = list(base)
+        for _ in range(rng.randint(0, size // 25)):
+            words[rng.randrange(size)] = f"e{rng.randint(0, 10**6)}"
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("few", [2, 24])
+def test_join_against_all_pairs(spark, documents, monkeypatch, few):
+    """few = 2 sends nearly everything through the way for shingles that many share."""
+    monkeypatch.setattr(jaccard_join, "FEW", few)
+    rng = random.Random(few)
+    texts = [*near_copies(40, 120, rng), *near_copies(12, 60, rng), *[" ".join(f"u{rng.randint(0, 10**6)}" for _ in range(50)) for _ in range(20)]]
+    shared = " ".join(f"p{i}" for i in range(30))
+    texts += [shared + " " + " ".join(f"q{rng.randint(0, 10**6)}" for _ in range(k)) for k in (1, 2, 3, 5, 8, 40)]
+    texts += ["", None, " \n ", "one", "One", "one two three", "a b c d", "A  b\tc d", "a b c d e", "Und " * 300, "Und " * 50, "x" * 50_000, texts[0], texts[0]]
+    rows = list(enumerate(texts)) + [(None, texts[1]), (None, "alone and null here"), (3, texts[3])]
+    rng.shuffle(rows)
+    got = jaccard_join.join(documents(rows)).collect()
+    key = lambda x: tuple((v is None, v or 0) for v in x)
+    assert sorted(map(tuple, got), key=key) == sorted(slow_components(rows), key=key)
+
+
+def test_join_of_nothing(documents):
+    assert jaccard_join.join(documents([])).count() == 0
+    assert [tuple(r) for r in jaccard_join.join(documents([(5, None)])).collect()] == [(5, 0, 5)]
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    chain = [(k, k + 1) for k in range(40)]
+    star = [(100, 101 + k) for k in range(30)]
+    edges = chain + star + [(500, 501), (501, 500)]
+    rng.shuffle(edges)
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(41)} | {100 + k: 100 for k in range(31)} | {500: 500, 501: 500}
+
+
+PASSAGE = "The first sentence of it has some words. Then a second one follows here. A third closes the passage now. And one more for good measure."
+
+
+def test_repeated_passage(documents):
+    docs = documents([(1, f"Own beginning of one.\n{PASSAGE}\nOwn end of one."), (2, f"Another text altogether, yes.\n{PASSAGE.upper()} Its own end."), (3, "Nothing of the kind stands in here at all. Truly."), (4, None), (5, ""), (None, PASSAGE), (1, f"Own beginning of one.\n{PASSAGE}\nOwn end of one.")])
+    got = sorted(((r.doc_id or 0, r.n_removed > 0, r.text) for r in span_dedup.dedup(docs).collect()), key=str)
+    first = f"Own beginning of one.\n{PASSAGE}\nOwn end of one."
+    assert got == [(0, True, ""), (1, False, first), (1, False, first), (2, True, "Another text altogether, yes.\nIts own end."), (3, False, "Nothing of the kind stands in here at all. Truly."), (4, False, None), (5, False, "")]
+    assert span_dedup.dedup(docs).columns[: len(docs.columns)] == docs.columns
+    assert span_dedup.dedup(documents([])).count() == 0
+
+
+def slow_removed(rows):
+    """Numbers of removed sentences: spans in order of documents, each one's later occurrences marked."""
+    seen, out = set(), {}
+    for doc_id, text in sorted(rows):
+        (starts, ends, _), *_ = [*span_dedup.sentences([text])]
+        raw = text.encode()
+        own = [raw[a:b].decode().lower().split() for a, b in zip(starts, ends, strict=True)]
+        gone = [False] * len(own)
+        for k in range(len(own)):
+            until, words = k, []
+            while until < len(own) and (until - k < span_dedup.SENTENCES or len(words) < span_dedup.LEAST_WORDS):
+                words += own[until]
+                until += 1
+            if until - k < span_dedup.SENTENCES or len(words) < span_dedup.LEAST_WORDS:
+                continue
+            if tuple(words) in seen:
+                gone[k:until] = [True] * (until - k)
+            seen.add(tuple(words))
+        out[doc_id] = sum(gone)
+    return out
+
+
+def test_spans_against_brute_force(spark, documents):
+    rng = random.Random(9)
+    pool = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(1, 9))) + rng.choice([".", "!", "?", ",", ""]) for _ in range(30)]
+    rows = [(k, rng.choice([" ", "\n"]).join(rng.choice(pool) for _ in range(rng.randint(0, 40)))) for k in range(40)]
+    rows.append((40, "word " * 40_000))
+    got = {r.doc_id: r for r in span_dedup.dedup(documents(rows)).collect()}
+    assert {k: r.n_removed for k, r in got.items()} == slow_removed(rows)
+    for k, text in rows:
+        removed = [tuple(map(int, x.split(":"))) for x in got[k].removed.split(",") if x]
+        left = "".join(text[a:b] for (_, a), (b, _) in zip([(0, 0), *removed], [*removed, (len(text), 0)], strict=True))
+        assert got[k].text.split() == left.split()
+
+
+def test_a_passage_is_cut_alike_anywhere(documents):
+    """Over fifty words without an end mark, in the midst of other words."""
+    rng = random.Random(4)
+    passage = " ".join(f"p{rng.randint(0, 10**6)}" for _ in range(150))
+    docs = documents([(k, f"{' '.join(f'o{rng.randint(0, 10**6)}' for _ in range(20))} {passage} tail {k}") for k in range(3)])
+    got = span_dedup.dedup(docs).filter(F.col("n_removed") > 0).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2] and all(len(r.text.split()) < 110 for r in got)

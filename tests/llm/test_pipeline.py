@@ -1,0 +1,32 @@
+import pytest
+from pyspark.sql import functions as F
+
+from auditloom.llm import jaccard_join, queries
+
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+
+
+def test_stages_take_effect(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    bench = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, stage(spark, docs, sf).persist()
+        kept[name] = docs.count()
+        assert 0 < kept[name] <= before.count()
+        if name != "mixing":
+            assert docs.columns == corpus_pipeline.COLUMNS
+        if name == "near_duplicates":
+            assert jaccard_join.join(docs).filter("doc_id <> component_id").count() == 0
+        if name == "decontamination":
+            texts = [r.text.lower() for r in docs.collect()]
+            assert not any(b.lower() in x for b in bench for x in texts)
+        if name == "pii":
+            assert docs.filter(F.col("text").rlike(r"[A-Za-z0-9]@[A-Za-z0-9-]+\.[a-z]")).count() == 0
+            assert docs.filter(F.length("text") != F.col("n_chars")).count() == 0
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "pii", "mixing"]
+    assert docs.filter("rate < 0").count() == 0
+
+
+def test_every_operator_has_one_query():
+    assert sorted(int(x[2:].split("_")[0]) for x in queries.QUERIES) == list(range(1, 11))
