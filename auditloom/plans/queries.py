@@ -363,7 +363,7 @@ def q16_day_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed issues: one for each order, with two findings whose instruction many orders share."""
-    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
+    orders = spread(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus"))
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
 
     def one(title, instruction, evidence):
