@@ -1,9 +1,10 @@
 """Removal of repeated passages: sentences inside of spans that occurred before, anywhere in the corpus.
 
 A text is cut into sentences at line feeds, at end marks followed by white
-space, and, so that lists and tables without end marks have pieces too, after
-words whose hash is a multiple of 16. All cuts depend on what stands there
-alone; a passage is thus cut alike wherever it occurs. A span is a run of three
+space, and, since lists and long sentences shall have pieces too, after the
+word of the least hash of every ten words in a row (winnowing), so that only a
+word that is repeated over and over makes pieces of more than ten. Cuts depend on the nine words around them at most; a
+passage is thus cut alike wherever it occurs, but for its edges. A span is a run of three
 sentences, or of more if it takes that to reach twelve words. Spans are hashed
 over their words, lower-cased, and joined over the whole corpus; all but a
 span's first occurrence (by document id, then place) are marked, and sentences
@@ -24,10 +25,29 @@ from .common import add_columns, stored
 
 SENTENCES = 3
 LEAST_WORDS = 12
-CUT = np.uint64(15)
+#: Words of a piece at most.
+PIECE = 10
 END_MARKS = tuple(b".!?")
 
 
+def cuts(h: np.ndarray, closes: np.ndarray) -> np.ndarray:
+    """Where words of these hashes close a piece: at the ends of sentences, and at the least of every PIECE words of one sentence.
+
+    Of equal words the last counts; in a row of one word over and over, every PIECE-th.
+    """
+    out = closes.copy()
+    if len(h) < PIECE:
+        return out
+    sentence = np.cumsum(closes) - closes
+    own = np.flatnonzero(sentence[PIECE - 1 :] == sentence[: len(h) - PIECE + 1])
+    least = PIECE - 1 - np.lib.stride_tricks.sliding_window_view(h, PIECE)[own, ::-1].argmin(axis=1)
+    at = np.unique(own + least)
+    changes = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    nth = at - changes[np.searchsorted(changes, at, "right") - 1]
+    out[at[(nth == 0) | (nth % PIECE == PIECE - 1)]] = True
+    return out
+
+
 def sentences(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Of each text the first and last byte of its sentences and, for each sentence, the hash of the span that begins there and its number of sentences.
 
@@ -39,10 +59,11 @@ def sentences(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray,
         starts, ends, h = word_hashes.words(joined)
         bounds = np.searchsorted(starts, begins)
         lines = np.cumsum(joined == 10)
-        closes = np.isin(joined[ends - 1], END_MARKS) | ((h & CUT) == 0)
+        closes = np.isin(joined[ends - 1], END_MARKS)
         if len(starts):
             closes[:-1] |= lines[starts[1:]] > lines[ends[:-1] - 1]
             closes[-1] = True
+        closes = cuts(h, closes)
         total = np.concatenate([[np.uint64(0)], np.cumsum(word_hashes.mixed(h) * word_hashes.powers(word_hashes.ODD, len(h)))])
         undo = word_hashes.powers(word_hashes.INVERSE, len(h) + 1)
         for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):

@@ -2,6 +2,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +131,30 @@ def test_a_passage_is_cut_alike_anywhere(documents):
     docs = documents([(k, f"{' '.join(f'o{rng.randint(0, 10**6)}' for _ in range(20))} {passage} tail {k}") for k in range(3)])
     got = span_dedup.dedup(docs).filter(F.col("n_removed") > 0).collect()
     assert sorted(r.doc_id for r in got) == [1, 2] and all(len(r.text.split()) < 110 for r in got)
+
+
+def test_long_passages_without_end_marks_are_found(documents):
+    """Passages of 50 words within other text: cut alike but for their edges."""
+    rng = random.Random(9)
+    words = lambda n: " ".join(f"v{rng.randint(0, 10**6)}" for _ in range(n))
+    passages = [words(50) for _ in range(20)]
+    rows = [(2 * k + i, f"{words(rng.randint(1, 40))} {p} {words(rng.randint(1, 40))}") for k, p in enumerate(passages) for i in (0, 1)]
+    got = {r.doc_id: r for r in span_dedup.dedup(documents(rows)).collect()}
+    for k, p in enumerate(passages):
+        text = rows[2 * k + 1][1]
+        start = text.index(p)
+        assert got[2 * k].n_removed == 0
+        spans = [tuple(map(int, x.split(":"))) for x in got[2 * k + 1].removed.split(",") if x]
+        assert spans and all(a >= start and b <= start + len(p) for a, b in spans)
+        assert sum(b - a for a, b in spans) >= 0.5 * len(p)
+
+
+def test_pieces_have_ten_words_at_most():
+    rng = np.random.default_rng(4)
+    h = rng.integers(0, 2**63, 500).astype(np.uint64)
+    closes = np.zeros(500, bool)
+    closes[[99, 100, 130, 499]] = True
+    found = np.flatnonzero(span_dedup.cuts(h, closes))
+    assert {99, 100, 130, 499} <= set(found) and np.diff(found).max() <= span_dedup.PIECE
+    same = np.flatnonzero(span_dedup.cuts(np.full(100, h[0]), np.arange(100) == 99))
+    assert len(same) == 10
