@@ -109,11 +109,10 @@ def blobs(docs: DataFrame, bits: int) -> DataFrame:
         low = (h[order] & np.uint64((1 << LOW) - 1)).view(np.uint8).reshape(-1, 8)[:, : LOW // 8]
         of, ends = of[order], np.searchsorted(part[order], np.arange((1 << bits) + 1))
         rows = []
-        for r in range(1 << bits):
+        for r in np.flatnonzero(ends[1:] > ends[:-1]):
             a, b = ends[r], ends[r + 1]
-            if b > a:
-                there, n = np.unique(of[a:b], return_counts=True)
-                rows.append((r, names[there].tobytes(), sizes[there].tobytes(), n.astype(np.int32).tobytes(), low[a:b].tobytes()))
+            there, n = np.unique(of[a:b], return_counts=True)
+            rows.append((r, names[there].tobytes(), sizes[there].tobytes(), n.astype(np.int32).tobytes(), low[a:b].tobytes()))
         names_of = ["range", "cls", "size", "n", "low"]
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int32() if i == 0 else pa.binary()) for i in range(5)], names_of)
 
@@ -151,20 +150,18 @@ def shared_shingles(blobs: DataFrame, bits: int, parts: int) -> DataFrame:
         part = names[of] % parts
         order = np.lexsort((names[of], part))
         h, of, frequency, part = h[order], of[order], frequency[order], part[order]
-        whole = (h | (np.uint64(key[0]) << np.uint64(LOW))).astype(np.int64)
+        # The range holds the upper bits; where both hold a bit they agree.
+        whole = (h | (np.uint64(key[0]) << np.uint64(64 - bits))).view(np.int64)
         ends = np.searchsorted(part, np.arange(parts + 1))
         rows = []
-        for p in range(parts):
+        for p in np.flatnonzero(ends[1:] > ends[:-1]):
             a, b = ends[p], ends[p + 1]
-            if b > a:
-                own = names[of[a:b]]
-                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                count = np.diff(np.concatenate([first, [len(own)]])).astype(np.int32)
-                rows.append((p, own[first].tobytes(), sizes[of[a:b]][first].tobytes(), count.tobytes(), whole[a:b].tobytes(), frequency[a:b].tobytes()))
+            own = names[of[a:b]]
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            count = np.diff(np.concatenate([first, [len(own)]])).astype(np.int32)
+            rows.append((p, own[first].tobytes(), sizes[of[a:b]][first].tobytes(), count.tobytes(), whole[a:b].tobytes(), frequency[a:b].tobytes()))
         return pd.DataFrame(rows, columns=["part", "cls", "size", "n", "shingle", "frequency"])
 
-    # low is 48 bits wide, and a range takes bits up to 63: the shingle's number stays positive.
-    assert bits + LOW <= 63
     return blobs.groupBy("range").applyInPandas(reduce, "part int, cls binary, size binary, n binary, shingle binary, frequency binary")
 
 
@@ -258,7 +255,7 @@ def join(docs: DataFrame) -> DataFrame:
     """
     rows = stored(classes(docs), "jaccard-classes")
     total, bits = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0], 4
-    while bits < 15 and total > IN_RANGE << bits:
+    while total > IN_RANGE << bits:
         bits += 1
     shared = shared_shingles(blobs(docs, bits), bits, 1 << bits)
     found = stored(candidates(shared), "jaccard-candidates")

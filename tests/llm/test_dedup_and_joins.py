@@ -62,6 +62,17 @@ def test_join_against_all_pairs(spark, documents, monkeypatch, few):
     assert sorted(map(tuple, got), key=key) == sorted(slow_components(rows), key=key)
 
 
+def test_join_with_many_ranges(documents, monkeypatch):
+    """More ranges than there are bits above the ones that are kept within a range."""
+    ranges = 18
+    blobs, shared = jaccard_join.blobs, jaccard_join.shared_shingles
+    monkeypatch.setattr(jaccard_join, "blobs", lambda docs, bits: blobs(docs, ranges))
+    monkeypatch.setattr(jaccard_join, "shared_shingles", lambda found, bits, parts: shared(found, ranges, parts))
+    rng = random.Random(6)
+    rows = list(enumerate([*near_copies(10, 60, rng), *near_copies(5, 30, rng), "a b c d e"]))
+    assert sorted(map(tuple, jaccard_join.join(documents(rows)).collect())) == sorted(slow_components(rows))
+
+
 def test_join_of_nothing(documents):
     assert jaccard_join.join(documents([])).count() == 0
     assert [tuple(r) for r in jaccard_join.join(documents([(5, None)])).collect()] == [(5, 0, 5)]
