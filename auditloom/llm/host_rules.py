@@ -95,14 +95,17 @@ def host_rates(measured: DataFrame) -> DataFrame:
     beyond what drawing n documents gives; it is held between 1 and 1000.
     """
     hosts = measured.groupBy("host").agg(F.count("*").alias("documents"), F.sum((F.col("base_failed") | (F.col("soft") > 0)).cast("long")).alias("failures"))
+    hosts = stored(hosts, "rule-host-counts")
     rate = F.col("failures") / F.col("documents")
     mean = F.sum("failures") / F.greatest(F.sum("documents"), F.lit(1))
     prior = hosts.agg(mean.alias("mean"), (F.sum("failures") * 1.0).alias("all"), F.coalesce(F.var_pop(rate), F.lit(0.0)).alias("spread"), F.coalesce(F.avg(1 / F.col("documents")), F.lit(1.0)).alias("draw"))
     m = F.col("mean")
     excess = F.greatest(F.col("spread") - m * (1 - m) * F.col("draw"), F.lit(1e-9))
-    prior = prior.select("mean", F.least(F.greatest(m * (1 - m) / excess - 1, F.lit(1.0)), F.lit(1000.0)).alias("strength"))
-    shrunk = (F.col("failures") + F.col("mean") * F.col("strength")) / (F.col("documents") + F.col("strength"))
-    return hosts.join(F.broadcast(prior)).select("host", "documents", "failures", shrunk.alias("rate"), m.alias("overall"))
+    # One row, whatever the number of hosts.
+    prior = prior.select("mean", F.least(F.greatest(m * (1 - m) / excess - 1, F.lit(1.0)), F.lit(1000.0)).alias("strength")).first()
+    mean, strength = F.lit(prior["mean"]).cast("double"), F.lit(prior["strength"]).cast("double")
+    shrunk = (F.col("failures") + mean * strength) / (F.col("documents") + strength)
+    return hosts.select("host", "documents", "failures", shrunk.alias("rate"), mean.alias("overall"))
 
 
 def judge(docs: DataFrame, host: str = "source", blocked: float = 0.5, suspect: float = 2.0) -> DataFrame:

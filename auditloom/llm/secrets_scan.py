@@ -133,7 +133,7 @@ def thresholds(scored: DataFrame, fdr: float) -> DataFrame:
     From counts by class of length and bin; whatever the corpus, these are few rows.
     """
     counts = scored.groupBy("length", "bin").agg(F.sum(F.col("natural").cast("long")).alias("natural"), F.sum((~F.col("natural")).cast("long")).alias("candidates"))
-    grid = counts.select("length").distinct().crossJoin(counts.sparkSession.range(BINS + 1).select(F.col("id").cast("int").alias("bin")))
+    grid = counts.select("length").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(BINS))))
     counts = grid.join(counts, ["length", "bin"], "left").na.fill(0, ["natural", "candidates"])
     up = Window.partitionBy("length").orderBy(F.desc("bin"))
     from_here = counts.select("length", "bin", F.sum("natural").over(up).alias("natural"), F.sum("candidates").over(up).alias("candidates"))
