@@ -44,6 +44,9 @@ IN_RANGE = 3_000_000
 #: Classes that share a shingle up to which all their pairs are looked at.
 FEW = 24
 PARTS = 16
+#: Copies of one text up to which its rows are shuffled together at the end, and how many classes may have more at most.
+COPIES = 1000
+HOT_CLASSES = 100_000
 LOW = 48  # bits of a shingle's hash that are kept within its range
 
 
@@ -254,14 +257,28 @@ def join(docs: DataFrame) -> DataFrame:
     null id is never a component's smallest unless it holds no other.
     """
     rows = stored(classes(docs), "jaccard-classes")
-    total, bits = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0], 4
-    while total > IN_RANGE << bits:
+    size = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("shingles"), F.count("*").alias("rows")).first()
+    bits = 4
+    while size["shingles"] > IN_RANGE << bits:
         bits += 1
     shared = shared_shingles(blobs(docs, bits), bits, 1 << bits)
     found = stored(candidates(shared), "jaccard-candidates")
     label = components(stored(links(found), "jaccard-all-links"), "jaccard")
-    smallest = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("smallest"))
+    smallest = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("copies"))
     of = label.join(smallest, F.col("node") == F.col("cls")).select("cls", "label", "smallest")
     of = of.join(of.groupBy("label").agg(F.min("smallest").alias("lowest")), "label").select("cls", "lowest")
-    ids = smallest.join(of, "cls", "left").select("cls", F.coalesce("lowest", "smallest").alias("lowest"))
-    return rows.join(ids, "cls", "left").select("doc_id", "n_shingles", F.coalesce("lowest", "doc_id").alias("component_id"))
+    ids = stored(smallest.join(of, "cls", "left").select("cls", F.coalesce("lowest", "smallest").alias("lowest"), "copies"), "jaccard-components")
+    return with_component(rows, ids, max(COPIES, size["rows"] // HOT_CLASSES))
+
+
+def with_component(rows: DataFrame, ids: DataFrame, copies: int) -> DataFrame:
+    """doc_id, n_shingles and component_id of rows; classes of more than ``copies`` rows are broadcast, so that their rows stay where they lie.
+
+    There are at most HOT_CLASSES of those, since copies is at least the number of rows divided by it.
+    """
+    known = rows.filter("cls is not null")
+    hot = F.broadcast(ids.filter(F.col("copies") > copies).select("cls", "lowest"))
+    cold = ids.filter(F.col("copies") <= copies).select("cls", "lowest")
+    parts = [known.join(hot, "cls"), known.join(hot, "cls", "left_anti").join(cold, "cls"), rows.filter("cls is null").withColumn("lowest", F.col("doc_id"))]
+    columns = ["doc_id", "n_shingles", F.coalesce("lowest", "doc_id").alias("component_id")]
+    return parts[0].select(columns).union(parts[1].select(columns)).union(parts[2].select(columns))

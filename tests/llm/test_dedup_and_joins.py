@@ -50,6 +50,7 @@ def near_copies(n, size, rng, base=None):
 def test_join_against_all_pairs(spark, documents, monkeypatch, few):
     """few = 2 sends nearly everything through the way for shingles that many share."""
     monkeypatch.setattr(jaccard_join, "FEW", few)
+    monkeypatch.setattr(jaccard_join, "COPIES", few // 2)
     rng = random.Random(few)
     texts = [*near_copies(40, 120, rng), *near_copies(12, 60, rng), *[" ".join(f"u{rng.randint(0, 10**6)}" for _ in range(50)) for _ in range(20)]]
     shared = " ".join(f"p{i}" for i in range(30))
