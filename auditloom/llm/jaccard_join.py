@@ -1,5 +1,7 @@
 """Documents whose sets of word shingles have a Jaccard similarity of 0.85 or more, by prefix filtering.
 
+The words of a shingle and the percent are parameters of ``join``; four and 85, as below, are op6's.
+
 1. Every text becomes its set of distinct four-word shingles, as 64-bit hashes.
    Texts of equal sets form a class; from here on a class stands for its texts.
 2. In how many classes each shingle occurs is counted exactly. Hashes travel as
@@ -36,8 +38,8 @@ from . import word_hashes
 from .common import stored
 from .components import components
 
+#: Words of a shingle, and percent of the union that two sets must share, where ``join`` is given no others.
 WORDS = 4
-#: Percent of the union that two sets must share.
 PERCENT = 85
 #: Shingles of a range of hashes, and shared shingles of a part of the classes, that one task gets at a time.
 IN_RANGE = 3_000_000
@@ -50,17 +52,17 @@ HOT_CLASSES = 100_000
 LOW = 48  # bits of a shingle's hash that are kept within its range
 
 
-def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text: of four words each, or of all its words if there are fewer."""
+def shingle_sets(texts: list[str | None], n_words: int = WORDS) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text: of n_words words each, or of all its words if there are fewer."""
     raw = [(x or "").encode("utf-8", "surrogatepass") for x in texts]
     for first, last in word_hashes.grouped(raw):
         joined, begins = word_hashes.joined(raw[first:last])
         starts, _, h = word_hashes.words(joined)
-        runs = word_hashes.sequences(h, WORDS)
+        runs = word_hashes.sequences(h, n_words)
         bounds = np.searchsorted(starts, begins)
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            if b - a >= WORDS:
-                yield np.unique(runs[a : b - WORDS + 1])
+            if b - a >= n_words:
+                yield np.unique(runs[a : b - n_words + 1])
             elif b > a:
                 yield word_hashes.sequences(h[a:b], int(b - a)) ^ np.uint64(b - a)
             else:
@@ -72,26 +74,26 @@ def class_of(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little") >> 1
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def classes(docs: DataFrame, n_words: int = WORDS) -> DataFrame:
     """doc_id, cls and n_shingles of every row; cls is null for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [(class_of(s) if len(s) else None, len(s)) for s in shingle_sets(batch.column("text").to_pylist())]
+            sets = [(class_of(s) if len(s) else None, len(s)) for s in shingle_sets(batch.column("text").to_pylist(), n_words)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([c for c, _ in sets], pa.int64()), pa.array([n for _, n in sets], pa.int64())], ["doc_id", "cls", "n_shingles"])
 
     read = docs.select("doc_id", "text")
     return read.mapInArrow(run, read.select("doc_id").schema.add("cls", "long").add("n_shingles", "long"))
 
 
-def blobs(docs: DataFrame, bits: int) -> DataFrame:
+def blobs(docs: DataFrame, bits: int, n_words: int = WORDS) -> DataFrame:
     """Of each block of texts and each of 2**bits ranges: the classes, their sizes, how many shingles each has there, and these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own: dict[int, np.ndarray] = {}
             size = 0
-            for s in shingle_sets(batch.column("text").to_pylist()):
+            for s in shingle_sets(batch.column("text").to_pylist(), n_words):
                 if len(s) and (name := class_of(s)) not in own:
                     own[name] = s
                     size += len(s)
@@ -168,12 +170,12 @@ def shared_shingles(blobs: DataFrame, bits: int, parts: int) -> DataFrame:
     return blobs.groupBy("range").applyInPandas(reduce, "part int, cls binary, size binary, n binary, shingle binary, frequency binary")
 
 
-def least_shared(n: Column | np.ndarray) -> Column | np.ndarray:
+def least_shared(n: Column | np.ndarray, percent: int) -> Column | np.ndarray:
     """Of n shingles at least so many must be in the other set."""
-    return (n * PERCENT + 99) // 100
+    return (n * percent + 99) // 100
 
 
-def candidates(shared: DataFrame) -> DataFrame:
+def candidates(shared: DataFrame, percent: int = PERCENT) -> DataFrame:
     """cls, n, own (shingles that no other class has), tokens (the others, rare first), reach (how many of them belong to the prefix), parts.
 
     Only classes with a shared shingle in their prefix.
@@ -190,7 +192,7 @@ def candidates(shared: DataFrame) -> DataFrame:
         for a, b in zip(first, [*first[1:], len(of)], strict=True):
             size = int(all_sizes[a])
             own = size - int(b - a)
-            reach = size - least_shared(size) + 1 - own
+            reach = size - least_shared(size, percent) + 1 - own
             if reach > 0:
                 rows.append((int(of[a]), size, own, h[a:b], int(reach), np.bincount(h[a:b] % PARTS, minlength=PARTS)))
         return pd.DataFrame(rows, columns=["cls", "n", "own", "tokens", "reach", "parts"])
@@ -198,7 +200,7 @@ def candidates(shared: DataFrame) -> DataFrame:
     return shared.groupBy("part").applyInPandas(gather, "cls long, n int, own int, tokens array<long>, reach int, parts array<int>")
 
 
-def can_link(a: str, b: str) -> Column:
+def can_link(a: str, b: str, percent: int) -> Column:
     """Length, positional and suffix filter for rows a and b that share the shingle at their positions.
 
     The positional filter takes the shingle for the first that both share, so
@@ -206,27 +208,27 @@ def can_link(a: str, b: str) -> Column:
     the one of its first shared shingle passes.
     """
     n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
-    length = (100 * F.least(n_a, n_b)) >= (PERCENT * F.greatest(n_a, n_b))
+    length = (100 * F.least(n_a, n_b)) >= (percent * F.greatest(n_a, n_b))
     follows = F.least(n_a - F.col(f"{a}.at"), n_b - F.col(f"{b}.at"))
     alike = F.aggregate(F.zip_with(f"{a}.parts", f"{b}.parts", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    enough = lambda shared: (100 + PERCENT) * shared >= PERCENT * (n_a + n_b)
+    enough = lambda shared: (100 + percent) * shared >= percent * (n_a + n_b)
     return length & enough(follows) & enough(alike)
 
 
-def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link: 100 * shared >= 85 * union. Only shared shingles of two classes can be in both."""
+def verified(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link: 100 * shared >= percent * union. Only shared shingles of two classes can be in both."""
     tokens = found.select("cls", "n", "tokens")
     one = tokens.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
     two = tokens.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"))
     both = pairs.join(one, "a").join(two, "b").withColumn("shared", F.size(F.array_intersect("t_a", "t_b")))
-    return both.filter((100 + PERCENT) * F.col("shared") >= PERCENT * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    return both.filter((100 + percent) * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
 def ordered(a: str, b: str) -> list[Column]:
     return [F.least(f"{a}.cls", f"{b}.cls").alias("a"), F.greatest(f"{a}.cls", f"{b}.cls").alias("b")]
 
 
-def links(found: DataFrame) -> DataFrame:
+def links(found: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) of classes that link: all of them up to FEW classes to a prefix shingle, beyond it enough to give the same components."""
     members = found.select("cls", "n", "own", "parts", F.posexplode(F.slice("tokens", F.lit(1), F.col("reach"))).alias("k", "token")).withColumn("at", F.col("k") + F.col("own")).drop("k")
     # Of classes that share a shingle, the pivot is the one with the fewest rarer ones.
@@ -235,9 +237,9 @@ def links(found: DataFrame) -> DataFrame:
     heads = stored(heads.filter(F.col("m") > FEW).select("token", "pivot.*"), "jaccard-heads")
 
     few, many = members.filter(F.col("m") <= FEW), members.filter(F.col("m") > FEW)
-    near = few.alias("x").join(few.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") < F.col("y.cls"))).filter(can_link("x", "y")).select(*ordered("x", "y"))
-    star = many.alias("x").join(heads.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") != F.col("y.cls"))).filter(can_link("x", "y")).select(*ordered("x", "y"))
-    first = stored(verified(near.union(star).distinct(), found), "jaccard-links")
+    near = few.alias("x").join(few.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") < F.col("y.cls"))).filter(can_link("x", "y", percent)).select(*ordered("x", "y"))
+    star = many.alias("x").join(heads.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") != F.col("y.cls"))).filter(can_link("x", "y", percent)).select(*ordered("x", "y"))
+    first = stored(verified(near.union(star).distinct(), found, percent), "jaccard-links")
 
     # Only where many share a shingle: those that did not come into the pivot's component, against all others.
     label = components(first, "jaccard-first") if not first.isEmpty() else first.select(F.col("a").alias("node"), F.col("b").alias("label"))
@@ -245,25 +247,26 @@ def links(found: DataFrame) -> DataFrame:
     pivots = label.select(F.col("node").alias("pivot"), F.col("label").alias("main"))
     named = stored(named.join(pivots, "pivot", "left").withColumn("main", F.coalesce("main", "pivot")), "jaccard-many")
     outside = named.filter("label <> main")
-    rest = outside.alias("x").join(named.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & can_link("x", "y")).select(*ordered("x", "y"))
-    return first.union(verified(rest.distinct(), found))
+    rest = outside.alias("x").join(named.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & can_link("x", "y", percent)).select(*ordered("x", "y"))
+    return first.union(verified(rest.distinct(), found, percent))
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row.
+def join(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row, for shingles of n_words words and sets that share percent of their union.
 
     Null texts and texts without words have no shingles, link with nothing and
     are components of their own. Rows that repeat an id or a text are kept; a
     null id is never a component's smallest unless it holds no other.
     """
-    rows = stored(classes(docs), "jaccard-classes")
+    rows = stored(classes(docs, n_words), "jaccard-classes")
     size = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("shingles"), F.count("*").alias("rows")).first()
     bits = 4
     while size["shingles"] > IN_RANGE << bits:
         bits += 1
-    shared = shared_shingles(blobs(docs, bits), bits, 1 << bits)
-    found = stored(candidates(shared), "jaccard-candidates")
-    label = components(stored(links(found), "jaccard-all-links"), "jaccard")
+    sent = blobs(docs, bits) if n_words == WORDS else blobs(docs, bits, n_words)
+    shared = shared_shingles(sent, bits, 1 << bits)
+    found = stored(candidates(shared, percent), "jaccard-candidates")
+    label = components(stored(links(found, percent), "jaccard-all-links"), "jaccard")
     smallest = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("copies"))
     of = label.join(smallest, F.col("node") == F.col("cls")).select("cls", "label", "smallest")
     of = of.join(of.groupBy("label").agg(F.min("smallest").alias("lowest")), "label").select("cls", "lowest")

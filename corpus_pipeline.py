@@ -1,7 +1,7 @@
 """A training corpus from documents, in five stages, each of which works on what the one before it kept.
 
 1. quality: documents that the compression classifier scores below 0.7 go;
-2. near_duplicates: of documents that the n-gram Jaccard join connects, the one of the smallest id stays;
+2. near_duplicates: of documents that the n-gram Jaccard join connects, at 0.8 on shingles of five words, the one of the smallest id stays;
 3. decontamination: documents that hold a benchmark item, in whatever order, go;
 4. pii: personal data is replaced by its kind, and n_chars follows;
 5. mixing: every document gets the rate that brings the corpus to the target weights.
@@ -21,6 +21,8 @@ from auditloom.llm.common import held_out, small_or_not, stored, table
 
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Words of a shingle and percent of the union from which on two documents are near duplicates; op6 has its own.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component the document of the smallest id. Rows that repeat an id stay or go together; a null id stays where it stands alone."""
-    joined = jaccard_join.join(docs)
+    joined = jaccard_join.join(docs, NEAR_WORDS, NEAR_PERCENT)
     gone = stored(joined.filter("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
     return docs.join(small_or_not(gone), "doc_id", "left_anti").select(*COLUMNS)
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,3 +32,29 @@ def test_stages_take_effect(spark, sf):
 
 def test_every_operator_has_one_query():
     assert sorted(int(x[2:].split("_")[0]) for x in queries.QUERIES) == list(range(1, 11))
+
+
+def five_word_sets(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_duplicates_against_all_pairs(spark, documents):
+    """Copies with words added at the end: many are near at 0.8 on five words, but not at 0.85 on four."""
+    rng, rows = random.Random(21), []
+    for k in range(0, 60, 2):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(100)]
+        rows += [(k, " ".join(words)), (k + 1, " ".join(words + [f"x{rng.randint(0, 10**6)}" for _ in range(k // 2)]))]
+    rows += [(100, None), (101, ""), (102, "a b c d"), (103, "A b c d"), (104, "a b c e")]
+    sets, root = {i: five_word_sets(x) for i, x in rows}, {i: i for i, _ in rows}
+    for b in sets:
+        for a in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    docs = documents(rows)
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert kept == [i for i in sets if root[i] == i]
+    strict = {r.doc_id for r in jaccard_join.join(docs).filter("doc_id = component_id").collect()}
+    assert len(strict) > len(kept)
