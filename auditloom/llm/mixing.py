@@ -4,12 +4,15 @@ A document belongs to each domain in part: a classifier learned from a table of
 labels gives it a posterior. With n tokens, posterior p and rate r it brings
 r * n * p[k] tokens to domain k. The rates are the nonnegative ones whose
 domain totals come closest to the targets in least squares, with a small ridge
-towards a rate of one, found by projected gradient descent: each step needs
-one sum for each domain over all documents, and moves every rate where it lies.
+towards a rate of one, found by gradient steps on the domains' gaps, scaled by
+the Gram matrix of the documents whose rates the projection leaves above zero,
+so that a rare domain moves as fast as a large one: each step needs one pass of
+sums over all documents, and a rate follows from the gaps where its row lies.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, RegexTokenizer
@@ -67,39 +70,59 @@ def posteriors(docs: DataFrame, labels: DataFrame, per_domain: int = 600) -> Dat
     return scored.select(*(c for c in docs.columns if c != "text"), F.size("tokens").cast("long").alias("n_tokens"), p.alias("p"))
 
 
-def rates(members: DataFrame, targets: dict[str, float], ridge: float = 1e-3, steps: int = 60, tolerance: float = 1e-4, store_every: int = 12) -> DataFrame:
+def rates(members: DataFrame, targets: dict[str, float], ridge: float = 1e-3, steps: int = 60, tolerance: float = 1e-4) -> DataFrame:
     """Adds rate to rows with n_tokens and p: the minimum over rates >= 0 of
 
     1/2 sum over k of (sum of rate * n_tokens * p[k] / total - target[k])**2 + ridge / (2 N) * sum of (rate - 1)**2
 
-    for N rows and total tokens. Rows without tokens get rate 1. A step is the inverse of a
-    bound of the curvature, with Nesterov's momentum; it ends when the gradient step changes no domain's total by more than tolerance.
+    for N rows and total tokens. Rows without tokens get rate 1. At the minimum each rate is 1 less its
+    parts' product with the gaps, over ridge / N, projected to 0 and more; so gaps are looked for that their own rates
+    leave. Their slope is what the rates leave less the gaps, and no gap is further from the minimum's than the slope is
+    long. It ends when no domain's slope exceeds tolerance, at any scale of the domains.
     """
-    names, shares = list(targets), list(targets.values())
+    names, shares = list(targets), np.array(list(targets.values()))
     size = members.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).first()
     if not size["tokens"]:
         return members.withColumn("rate", F.lit(1.0))
-    part = lambda k: F.col("n_tokens") * F.get("p", F.lit(k)) / float(size["tokens"])
-    table = stored(members.withColumn("rate", F.lit(1.0)).withColumn("lead", F.lit(1.0)), "mixing-rates")
+    parts = [F.col("n_tokens") * F.get("p", F.lit(k)) / float(size["tokens"]) for k in range(len(names))]
     pull = ridge / size["rows"]
-    products = table.agg(*(F.sum(part(k) * part(j)).alias(f"s{k}_{j}") for k in range(len(names)) for j in range(len(names)))).first()
-    # No eigenvalue exceeds the largest sum of a row of the parts' products.
-    bound = pull + max(sum(products[f"s{k}_{j}"] for j in range(len(names))) for k in range(len(names)))
-    t, rate, lead, last = 1.0, F.col("rate"), F.col("lead"), None
-    for step in range(1, steps + 1):
-        totals = table.agg(*(F.sum(lead * part(k)).alias(f"t{k}") for k in range(len(names)))).first()
-        gaps = [totals[k] - shares[k] for k in range(len(names))]
-        slope = sum((F.lit(gap) * part(k) for k, gap in enumerate(gaps)), F.lit(pull) * (lead - 1))
-        after = F.when(F.col("n_tokens") > 0, F.greatest(lead - slope / bound, F.lit(0.0))).otherwise(F.lit(1.0))
-        t_after = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        table = table.withColumn("next", after).withColumn("lead", F.col("next") + (t - 1) / t_after * (F.col("next") - F.col("rate"))).withColumn("rate", F.col("next")).drop("next")
-        t, lead = t_after, F.col("lead")
-        if step % store_every == 0:
-            table = stored(table, "mixing-rates")
-        if last is not None and max(abs(a - b) for a, b in zip(gaps, last, strict=True)) < tolerance:
+    both = [(k, j) for k in range(len(names)) for j in range(k + 1)]
+
+    def rate(gaps: np.ndarray) -> Column:
+        return F.greatest(1 - sum((F.lit(float(g)) * x for g, x in zip(gaps, parts, strict=True)), F.lit(0.0)) / pull, F.lit(0.0))
+
+    def looked_at(tries: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Of each of some gaps, in one pass: the dual value, its slope and its curvature, from the rows off the bound."""
+        rows = members.select(*(x.alias(f"x{k}") for k, x in enumerate(parts)), *(rate(g).alias(f"r{i}") for i, g in enumerate(tries)))
+        sums = []
+        for i, gaps in enumerate(tries):
+            r, at = F.col(f"r{i}"), sum((F.lit(float(g)) * F.col(f"x{k}") for k, g in enumerate(gaps)), F.lit(0.0))
+            sums += [F.sum(at * r + pull / 2 * (r - 1) * (r - 1)), *(F.sum(r * F.col(f"x{k}")) for k in range(len(names)))]
+            sums += [F.sum(F.when(r > 0, F.col(f"x{k}") * F.col(f"x{j}")).otherwise(0.0)) for k, j in both]
+        got = np.array(rows.agg(*(x.alias(f"s{i}") for i, x in enumerate(sums))).first(), float).reshape(len(tries), -1)
+        out = []
+        for gaps, own in zip(tries, got, strict=True):
+            curve = np.zeros((len(names), len(names)))
+            for (k, j), x in zip(both, own[1 + len(names) :], strict=True):
+                curve[k, j] = curve[j, k] = x
+            out.append((own[0] - gaps @ gaps / 2 - gaps @ shares, own[1 : 1 + len(names)] - shares - gaps, np.eye(len(names)) + curve / pull))
+        return out
+
+    gaps, scale = np.zeros(len(names)), 1.0
+    value, slope, curve = looked_at([gaps])[0]
+    for _ in range(steps):
+        if np.abs(slope).max() <= tolerance:
             break
-        last = gaps
-    return table.drop("lead")
+        way = np.linalg.solve(curve, slope)
+        tries = [gaps + scale * x * way for x in (1, 1 / 2, 1 / 8, 1 / 64)]
+        # Where the value is too flat to tell, the shorter slope is the better one.
+        found = looked_at(tries)
+        k = max(range(len(tries)), key=lambda k: (round(found[k][0], 14), -np.abs(found[k][1]).max()))
+        if found[k][0] > value or np.abs(found[k][1]).max() < np.abs(slope).max():
+            gaps, (value, slope, curve), scale = tries[k], found[k], 1.0
+        else:
+            scale /= 256
+    return members.withColumn("rate", rate(gaps))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, per_domain: int = 600) -> DataFrame:

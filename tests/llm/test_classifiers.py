@@ -212,3 +212,22 @@ def test_mixing_edges(spark, documents):
     got = mixing.mix(docs, none).collect()
     assert len(got) == 5 and all(r.rate == 1 for r in got if not r.n_tokens) and all(r.p_clean == pytest.approx(1 / 3) for r in got)
     assert mixing.mix(documents([]), none).count() == 0
+
+
+@pytest.mark.parametrize(("shares", "sigma"), [((0.9945, 0.0025, 0.003), 1.8), ((0.986, 0.011, 0.003), 1.0), ((0.97, 0.028, 0.002), 1.0)])
+def test_rates_of_rare_domains(spark, shares, sigma):
+    """A domain of 0.2 or 0.3 percent of the tokens; the loss comes within 0.0001 of its lower bound, whatever the domains' scale."""
+    rng = np.random.default_rng(1)
+    rows = 4000
+    n = np.ceil(rng.lognormal(5, sigma, rows)).astype(int)
+    p = rng.dirichlet(np.array(shares) * 8, rows)
+    want = np.array(list(mixing.TARGETS.values()))
+    df = spark.createDataFrame([(k, int(x), row.tolist()) for k, (x, row) in enumerate(zip(n, p, strict=True))], "id long, n_tokens long, p array<double>")
+    got = {r.id: r.rate for r in mixing.rates(df, mixing.TARGETS).collect()}
+    rate, a = np.array([got[k] for k in range(rows)]), p * (n / n.sum())[:, None]
+    gaps, pull = rate @ a - want, 1e-3 / rows
+    best = np.maximum(0, 1 - a @ gaps / pull)
+    loss = lambda r: 0.5 * ((r @ a - want) ** 2).sum() + pull / 2 * ((r - 1) ** 2).sum()
+    # The dual value at the gaps is a lower bound of every loss.
+    bound = -gaps @ gaps / 2 - gaps @ want + (a @ gaps * best + pull / 2 * (best - 1) ** 2).sum()
+    assert (rate >= 0).all() and 0 <= loss(rate) - bound + 1e-12 and loss(rate) - bound < 1e-4
