@@ -231,3 +231,26 @@ def test_rates_of_rare_domains(spark, shares, sigma):
     # The dual value at the gaps is a lower bound of every loss.
     bound = -gaps @ gaps / 2 - gaps @ want + (a @ gaps * best + pull / 2 * (best - 1) ** 2).sum()
     assert (rate >= 0).all() and 0 <= loss(rate) - bound + 1e-12 and loss(rate) - bound < 1e-4
+
+
+@pytest.mark.parametrize("number", ["(202) 555-0143", "206-555-0199", "201.555.0100", "203/5550123", "1-917-555-0143", "(209) 555-0111", "1 978 555 0123", "0044 20 555 0123"])
+def test_phones_that_begin_like_a_year(documents, number):
+    """What the tagger finds must not be dropped for its first digits; labels are put where it would put them."""
+    text = f"call {number} now"
+    labels = np.zeros(len(text), np.int8)
+    kind = pii.KINDS.index("phone")
+    labels[5 : 5 + len(number)] = 2 * kind + 2
+    labels[5] -= 1
+    assert pii.all_spans(text, pii.base_spans(text), labels) == [("phone", 5, 5 + len(number))]
+
+
+@pytest.mark.parametrize("text", ["2024-01-15 10", "2024-01-15 1030", "1999/12/31-2000", "2019-2020-2021", "2024.1.5 12.30.15", "2019 2020 2021"])
+def test_dates_are_no_phones(text):
+    assert not pii.holds("phone", text)
+
+
+def test_tagged_phones_that_begin_like_a_year(documents, tagger):
+    numbers = [f"(20{k}) 555-0{100 + 7 * k}" for k in range(1, 10)] + [f"20{k}-555-0{101 + 6 * k}" for k in range(1, 10)]
+    rows = [(k, f"please call {x} or write to the office about it") for k, x in enumerate(numbers)]
+    found = sum("phone" in r.spans for r in pii.find(documents(rows), tagger).collect())
+    assert found >= 14
