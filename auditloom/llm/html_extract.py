@@ -2,9 +2,10 @@
 
 Every element of a page gets a density: its characters per tag, damped by the
 share of its characters and tags that belong to links. An element's density sum
-is the sum over its children. Going from the body to the element of the largest
+is the sum over its children that are blocks. Going from the body to the element of the largest
 sum, the lowest density on that path is the threshold; among the elements that
-reach it, the one with the largest sum holds the article.
+reach it, the one with the largest sum holds the article, with what stands beside
+it and reaches the threshold too, or is a heading. No element's name decides.
 
 Elements that say what they are (navigation, footers, forms, adverts, comments
 and so on) are taken out before any density is computed.
@@ -60,6 +61,9 @@ RAW_END = {x: re.compile(rf"</{x}\b[^>]*>?", re.I) for x in RAW}
 WORDS = re.compile(r"[a-z]+")
 
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
+
+
 class Node:
     __slots__ = ("chars", "children", "density", "end", "links", "link_tags", "name", "parent", "parts", "start", "sum", "tags", "dropped")
 
@@ -186,42 +190,51 @@ def measured(root: Node) -> list[Node]:
             c, t, lc, lt = node.chars, max(node.tags, 1), max(node.links, 1), max(node.link_tags, 1)
             base = math.log(c / max(c - node.links, 1) * node.links + share * c + math.e)
             node.density = c / t * max(math.log(c / lc * t / lt), 0.0) / base if base > 0 else 0.0
-        node.sum = sum(x.density for x in node.children if not x.dropped) or node.density
+        # Formatting is part of its block: it would count a paragraph's characters again.
+        node.sum = sum(x.density for x in node.children if not x.dropped and x.name not in INLINE) or node.density
     return order
 
 
-def article(root: Node) -> Node:
-    """The element of the largest density sum among those that reach the threshold of the body's path."""
+def article(root: Node) -> list[Node]:
+    """The element of the largest density sum among those that reach the threshold of the body's path, and what belongs to it beside it.
+
+    To either side siblings are taken as long as they reach the threshold or are headings.
+    """
     order = measured(root)
     body = next((x for x in order if x.name == "body"), root)
     inside = [x for x in order if x.name not in INLINE and x.chars]
     if not inside:
-        return body
+        return [body]
     top = max(inside, key=lambda x: (x.sum, x.chars))
     threshold, node = top.density, top
     while node is not None and node is not body.parent:
         threshold = min(threshold, node.density)
         node = node.parent
     best = max((x for x in inside if x.density >= threshold), key=lambda x: (x.sum, x.chars))
-    # An article element says where its own text begins and ends.
-    node = best
-    while node is not None:
-        if node.name in ("article", "main"):
-            return node
-        node = node.parent
-    named = [x for x in inside if x.name in ("article", "main")]
-    if named:
-        largest = max(named, key=lambda x: x.chars)
-        if 2 * largest.chars >= best.chars:
-            return largest
-    # What stands beside it and is no list of links belongs to the same text: headings and short paragraphs.
-    while best.parent is not None and best is not body and 3 * best.parent.links <= best.parent.chars:
-        best = best.parent
-    return best
-
-
-def block_text(top: Node) -> str:
-    """The text below top: white space in a block becomes one space, blocks are joined by newlines."""
+    return [best] if best is body or best.parent is None else beside(best, threshold)
+
+
+def beside(best: Node, threshold: float) -> list[Node]:
+    """An element and what belongs to it to either side; if that is all of its parent, the same of the parent."""
+    belongs = lambda x: x.name in HEADINGS or x.name not in INLINE and x.density >= threshold
+    while True:
+        siblings = [x for x in best.parent.children if not x.dropped and x.chars]
+        first = last = next(k for k, x in enumerate(siblings) if x is best)
+        while first and belongs(siblings[first - 1]):
+            first -= 1
+        while last + 1 < len(siblings) and belongs(siblings[last + 1]):
+            last += 1
+        # A heading after which nothing of the text comes is the next part's.
+        while siblings[last].name in HEADINGS and siblings[last] is not best:
+            last -= 1
+        found, up = siblings[first : last + 1], best.parent
+        if up.name in ("body", "html") or up.parent is None or up.chars != sum(x.chars for x in found):
+            return found
+        best = up
+
+
+def block_text(tops: list[Node]) -> str:
+    """The text below some elements: white space in a block becomes one space, blocks are joined by newlines."""
     blocks: list[str] = []
     run: list[str] = []
 
@@ -230,7 +243,7 @@ def block_text(top: Node) -> str:
             blocks.append(line)
         run.clear()
 
-    todo: list[str | Node | None] = [top]
+    todo: list[str | Node | None] = tops[::-1]
     while todo:
         x = todo.pop()
         if x is None:

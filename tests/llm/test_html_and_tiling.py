@@ -27,6 +27,24 @@ def test_pages(page, text):
     assert got == text or (page == "<a" and got in ("", "<a"))
 
 
+LONG = " ".join([TEXT] * 6)
+SIDE = "".join(f"<p>Short note {k} of the house.</p>" for k in range(12))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><div class=c2><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div><div class=c1>{SIDE}</div></body>",
+        f"<body><div class=c1>{SIDE}</div><div class=c2><div><h1>T</h1><p>{LONG}</p></div><div><p>{LONG}</p></div></div><div class=c3>{SIDE}</div></body>",
+        f"<body><div class=c0><div class=c2><h1>T</h1><p><b>{LONG}</b><br></p><p>{LONG}</p></div><div class=c1>{SIDE}</div></div></body>",
+        f"<body><article><p>An extract.</p></article><div class=c2><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div><div class=c1>{SIDE}</div></body>",
+    ],
+)
+def test_density_decides_where_no_name_does(page):
+    got = html_extract.main_text(page)
+    assert "Short note" not in got and got.endswith(f"T\n{LONG}\n{LONG}")
+
+
 def test_long_and_deep_pages():
     assert html_extract.main_text("<div>" * 20_000 + "x" * 10) == "x" * 10
     assert len(html_extract.main_text(f"<article><p>{'word ' * 300_000}</p></article>")) == 5 * 300_000 - 1
