@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -22,20 +21,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; only where none is set (tests on one machine) a temporary one."""
+    """The folder that the cluster shares, from spark.checkpoint.dir; a folder of one machine would not do, so there is no other."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder
-    folder = tempfile.mkdtemp(prefix="spark-shared-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share: intermediate tables are written there")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts the lineage, and survives lost executors."""
+    """Writes df to the shared folder and reads it again: cuts the lineage, and survives lost executors.
+
+    Tables that nothing reads any more are for discard(); the last ones of a result stay, since it reads them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables, once what was made of them is stored itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -49,6 +59,15 @@ def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
+#: Rows of an Arrow batch that are turned into Python's values at once.
+ROWS = 512
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in stretches of a few rows, so that a task holds few texts twice."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
 
 
 def add_columns(df: DataFrame, column: str, make: Callable[[list], list[tuple]], fields: str, drop: bool = False) -> DataFrame:
@@ -63,7 +82,7 @@ def add_columns(df: DataFrame, column: str, make: Callable[[list], list[tuple]],
     kept = [f.name for f in df.schema if not (drop and f.name == column)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             made = list(zip(*make(batch.column(column).to_pylist()), strict=True)) or [()] * len(new)
             arrays = [pa.array(x, ARROW[kind]) for x, (_, kind) in zip(made, new, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), *arrays], [*kept, *(name for name, _ in new)])

@@ -15,10 +15,11 @@ The words of a shingle and the percent are parameters of ``join``; four and 85,
    length filter, the positional filter (what can follow in both orders) and the
    suffix filter (what 16 parts of both sets can share) and are verified once.
    Where many classes share a shingle, all are first paired with the one that
-   has the fewest rarer shingles, and components are formed. Then only classes
-   outside of that one's component are paired with the others, so that a large
-   group of near copies costs little more than its number of members, and yet
-   every pair that could join two components is verified.
+   has the fewest rarer shingles (the pivot, whose shingles are sent once for
+   every few of its partners), and components are formed. Then only classes
+   outside of that one's component are paired with the others of a similar
+   length, so that a large group of near copies costs little more than its number
+   of members, and yet every pair that could join two components is verified.
 
 Links decide components; a class's label is the smallest id of its component's texts.
 """
@@ -35,14 +36,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import word_hashes
-from .common import stored
+from .common import discard, slices, stored
 from .components import components
 
 #: Words of a shingle, and percent of the union that two sets must share, where ``join`` is given no others.
 WORDS = 4
 PERCENT = 85
-#: Shingles of a range of hashes, and shared shingles of a part of the classes, that one task gets at a time.
+#: Shingles of a range of hashes, and shared shingles of a part of the classes, that one task gets at a time; and into how many steps it cuts them.
 IN_RANGE = 3_000_000
+STEPS = 8
+#: Shingles of a block of texts.
+IN_BLOCK = 400_000
+#: Partners of a pivot for which its shingles are sent once.
+PARTNERS = 64
 #: Classes that share a shingle up to which all their pairs are looked at.
 FEW = 24
 PARTS = 16
@@ -78,7 +84,7 @@ def classes(docs: DataFrame, n_words: int = WORDS) -> DataFrame:
     """doc_id, cls and n_shingles of every row; cls is null for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [(class_of(s) if len(s) else None, len(s)) for s in shingle_sets(batch.column("text").to_pylist(), n_words)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([c for c, _ in sets], pa.int64()), pa.array([n for _, n in sets], pa.int64())], ["doc_id", "cls", "n_shingles"])
 
@@ -93,33 +99,32 @@ def blobs(docs: DataFrame, bits: int, n_words: int = WORDS) -> DataFrame:
         for batch in batches:
             own: dict[int, np.ndarray] = {}
             size = 0
-            for s in shingle_sets(batch.column("text").to_pylist(), n_words):
-                if len(s) and (name := class_of(s)) not in own:
-                    own[name] = s
-                    size += len(s)
-                if size > IN_RANGE:
-                    yield from sent(own)
-                    own, size = {}, 0
-            yield from sent(own)
-
-    def sent(own: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        if not own:
-            return
+            for part in slices(iter([batch])):
+                for s in shingle_sets(part.column("text").to_pylist(), n_words):
+                    if len(s) and (name := class_of(s)) not in own:
+                        own[name] = s
+                        size += len(s)
+                    if size > IN_BLOCK:
+                        yield sent(own)
+                        own, size = {}, 0
+            if own:
+                yield sent(own)
+
+    def sent(own: dict[int, np.ndarray]) -> pa.RecordBatch:
         sizes = np.array([len(s) for s in own.values()], np.int32)
         names = np.array(list(own), np.int64)
         h = np.concatenate(list(own.values()))
-        of = np.repeat(np.arange(len(own)), sizes)
-        part = (h >> np.uint64(64 - bits)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        low = (h[order] & np.uint64((1 << LOW) - 1)).view(np.uint8).reshape(-1, 8)[:, : LOW // 8]
-        of, ends = of[order], np.searchsorted(part[order], np.arange((1 << bits) + 1))
+        part = (h >> np.uint64(64 - bits)).astype(np.int32)
+        order = np.argsort(part, kind="stable").astype(np.int32)
+        low = h[order].view(np.uint8).reshape(-1, 8)[:, : LOW // 8]
+        of = np.repeat(np.arange(len(own), dtype=np.int32), sizes)[order]
+        first = np.flatnonzero(np.diff(part[order], prepend=-1))
         rows = []
-        for r in np.flatnonzero(ends[1:] > ends[:-1]):
-            a, b = ends[r], ends[r + 1]
+        for a, b in zip(first, [*first[1:], len(h)], strict=True):
             there, n = np.unique(of[a:b], return_counts=True)
-            rows.append((r, names[there].tobytes(), sizes[there].tobytes(), n.astype(np.int32).tobytes(), low[a:b].tobytes()))
+            rows.append((part[order[a]], names[there].tobytes(), sizes[there].tobytes(), n.astype(np.int32).tobytes(), low[a:b].tobytes()))
         names_of = ["range", "cls", "size", "n", "low"]
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int32() if i == 0 else pa.binary()) for i in range(5)], names_of)
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int32() if i == 0 else pa.binary()) for i in range(5)], names_of)
 
     return docs.select("text").mapInArrow(run, "range int, cls binary, size binary, n binary, low binary")
 
@@ -131,17 +136,13 @@ def numbers(column: pd.Series, kind: type) -> np.ndarray:
 def shared_shingles(blobs: DataFrame, bits: int, parts: int) -> DataFrame:
     """Of each range and part of the classes: the classes, sizes and shingles that two classes or more have, with frequencies."""
 
-    def reduce(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        raw = numbers(group["low"], np.uint8).reshape(-1, LOW // 8)
-        h = np.zeros((len(raw), 8), np.uint8)
-        h[:, : LOW // 8] = raw
-        h = h.view(np.uint64).ravel()
-        names, sizes, n = numbers(group["cls"], np.int64), numbers(group["size"], np.int32), numbers(group["n"], np.int32)
-        of = np.repeat(np.arange(len(names), dtype=np.int32), n)
+    def in_common(h: np.ndarray, of: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of shingles and the numbers of their classes: those that two classes or more have, and how many have them."""
         order = np.argsort(h, kind="stable")
         h, of = h[order], of[order]
-        same = h[1:] == h[:-1]
-        more = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        same = np.zeros(len(h) + 1, bool)
+        same[1:-1] = h[1:] == h[:-1]
+        more = same[1:] | same[:-1]
         h, of = h[more], of[more]
         # A class comes once for each block that holds it.
         order = np.lexsort((names[of], h))
@@ -151,7 +152,19 @@ def shared_shingles(blobs: DataFrame, bits: int, parts: int) -> DataFrame:
         h, of = h[new], of[new]
         _, back, frequency = np.unique(h, return_inverse=True, return_counts=True)
         keep = frequency[back] > 1
-        h, of, frequency = h[keep], of[keep], frequency[back][keep].astype(np.int32)
+        return h[keep], of[keep], frequency[back][keep].astype(np.int32)
+
+    def reduce(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        names, sizes, n = numbers(group["cls"], np.int64), numbers(group["size"], np.int32), numbers(group["n"], np.int32)
+        raw = numbers(group["low"], np.uint8).reshape(-1, LOW // 8)
+        of = np.repeat(np.arange(len(names), dtype=np.int32), n)
+        found = []
+        for step in range(STEPS):
+            own = np.flatnonzero(raw[:, 0] % STEPS == step)
+            h = np.zeros((len(own), 8), np.uint8)
+            h[:, : LOW // 8] = raw[own]
+            found.append(in_common(h.view(np.uint64).ravel(), of[own], names))
+        h, of, frequency = (np.concatenate(x) for x in zip(*found, strict=True))
         part = names[of] % parts
         order = np.lexsort((names[of], part))
         h, of, frequency, part = h[order], of[order], frequency[order], part[order]
@@ -224,31 +237,51 @@ def verified(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     return both.filter((100 + percent) * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
+def verified_stars(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """The same for pairs (cls, pivot) of which one pivot may have very many; times says how often its tokens are sent, and partners are dealt among these."""
+    tokens = found.select("cls", "n", "tokens")
+    two = tokens.select(F.col("cls").alias("pivot"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b")).join(pairs.select("pivot", "times").distinct(), "pivot")
+    two = two.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
+    dealt = pairs.join(tokens, "cls").withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("times")).cast("int"))
+    both = dealt.join(two, ["pivot", "times", "salt"]).withColumn("shared", F.size(F.array_intersect("tokens", "t_b")))
+    return both.filter((100 + percent) * F.col("shared") >= percent * (F.col("n") + F.col("n_b"))).select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b"))
+
+
 def ordered(a: str, b: str) -> list[Column]:
     return [F.least(f"{a}.cls", f"{b}.cls").alias("a"), F.greatest(f"{a}.cls", f"{b}.cls").alias("b")]
 
 
 def links(found: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) of classes that link: all of them up to FEW classes to a prefix shingle, beyond it enough to give the same components."""
+    """A stored table of pairs (a, b) of classes that link: all of them up to FEW classes to a prefix shingle, beyond it enough to give the same components."""
     members = found.select("cls", "n", "own", "parts", F.posexplode(F.slice("tokens", F.lit(1), F.col("reach"))).alias("k", "token")).withColumn("at", F.col("k") + F.col("own")).drop("k")
     # Of classes that share a shingle, the pivot is the one with the fewest rarer ones.
     heads = members.groupBy("token").agg(F.count("*").alias("m"), F.min_by(F.struct("cls", "n", "own", "parts", "at"), F.struct("at", "cls")).alias("pivot")).filter("m > 1")
     members = stored(members.join(heads.select("token", "m", F.col("pivot.cls").alias("pivot")), "token"), "jaccard-members")
-    heads = stored(heads.filter(F.col("m") > FEW).select("token", "pivot.*"), "jaccard-heads")
+    times = F.pow(F.lit(2), F.ceil(F.log2(F.col("m") / PARTNERS + 1))).cast("int")
+    heads = stored(heads.filter(F.col("m") > FEW).select("token", times.alias("times"), "pivot.*"), "jaccard-heads")
 
     few, many = members.filter(F.col("m") <= FEW), members.filter(F.col("m") > FEW)
     near = few.alias("x").join(few.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") < F.col("y.cls"))).filter(can_link("x", "y", percent)).select(*ordered("x", "y"))
-    star = many.alias("x").join(heads.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") != F.col("y.cls"))).filter(can_link("x", "y", percent)).select(*ordered("x", "y"))
-    first = stored(verified(near.union(star).distinct(), found, percent), "jaccard-links")
-
-    # Only where many share a shingle: those that did not come into the pivot's component, against all others.
-    label = components(first, "jaccard-first") if not first.isEmpty() else first.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    named = many.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    pivots = label.select(F.col("node").alias("pivot"), F.col("label").alias("main"))
-    named = stored(named.join(pivots, "pivot", "left").withColumn("main", F.coalesce("main", "pivot")), "jaccard-many")
-    outside = named.filter("label <> main")
-    rest = outside.alias("x").join(named.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & can_link("x", "y", percent)).select(*ordered("x", "y"))
-    return first.union(verified(rest.distinct(), found, percent))
+    star = many.alias("x").join(heads.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") != F.col("y.cls"))).filter(can_link("x", "y", percent))
+    star = stored(star.groupBy(F.col("x.cls").alias("cls"), F.col("y.cls").alias("pivot")).agg(F.min("y.times").alias("times")), "jaccard-stars")
+    first = stored(verified(near.distinct(), found, percent).union(verified_stars(star, found, percent)).distinct(), "jaccard-links")
+    discard(star)
+    if heads.isEmpty():
+        discard(members, heads)
+        return first
+
+    # Only where many share a shingle: those that did not come into the pivot's component, against all others of a similar length.
+    label = components(first, "jaccard-first")
+    of = label.select("node", "label")
+    named = many.join(of.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    pivots = of.select(F.col("node").alias("pivot"), F.col("label").alias("main"))
+    band = F.floor(F.log("n") / F.log(F.lit(100 / percent)))  # sets that link are in one band or in neighbours
+    named = stored(named.join(pivots, "pivot", "left").withColumn("main", F.coalesce("main", "pivot")).withColumn("band", band), "jaccard-many")
+    outside = named.filter("label <> main").withColumn("band", F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))))
+    rest = outside.alias("x").join(named.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.label") != F.col("y.label")) & can_link("x", "y", percent)).select(*ordered("x", "y"))
+    found_links = stored(first.union(verified(rest.distinct(), found, percent)), "jaccard-all-links")
+    discard(members, heads, first, label, named)
+    return found_links
 
 
 def join(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -266,11 +299,14 @@ def join(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> DataF
     sent = blobs(docs, bits) if n_words == WORDS else blobs(docs, bits, n_words)
     shared = shared_shingles(sent, bits, 1 << bits)
     found = stored(candidates(shared, percent), "jaccard-candidates")
-    label = components(stored(links(found, percent), "jaccard-all-links"), "jaccard")
+    linked = links(found, percent)
+    label = components(linked, "jaccard")
+    discard(found, linked)
     smallest = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("copies"))
     of = label.join(smallest, F.col("node") == F.col("cls")).select("cls", "label", "smallest")
     of = of.join(of.groupBy("label").agg(F.min("smallest").alias("lowest")), "label").select("cls", "lowest")
     ids = stored(smallest.join(of, "cls", "left").select("cls", F.coalesce("lowest", "smallest").alias("lowest"), "copies"), "jaccard-components")
+    discard(label)
     return with_component(rows, ids, max(COPIES, size["rows"] // HOT_CLASSES))
 
 
