@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import pytest
 
@@ -92,9 +93,27 @@ ITEM = "one two three four five. six seven eight nine ten. eleven twelve thirtee
 def test_judge(spark, documents, sent_words):
     moved = "x y z Eleven twelve thirteen fourteen fifteen; q six seven eight nine ten r one two three four five"
     docs = documents([(1, ITEM), (2, moved), (3, "one two three four " + "other " * 5000), (4, None), (5, ""), (None, ITEM), (1, ITEM)])
-    bench = spark.createDataFrame([(1, ITEM), (2, None), (3, "short one"), (4, "")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, ITEM), (1, ITEM), (2, None), (3, "short one"), (4, ""), (None, ITEM), (1, "quite another text of this id")], "item_id long, text string")
     got = tiling.judge(docs, bench, sent_words=sent_words)
-    assert sorted((r.doc_id or 0, r.contaminated, r["items"]) for r in got.collect()) == [(0, True, "1"), (1, True, "1"), (1, True, "1"), (2, True, "1"), (3, False, ""), (4, False, ""), (5, False, "")]
+    found = (True, 2, "1,null")
+    assert sorted((r.doc_id or 0, (r.contaminated, r.n_items, r["items"])) for r in got.collect()) == [(0, found), (1, found), (1, found), (2, found), (3, (False, 0, "")), (4, (False, 0, "")), (5, (False, 0, ""))]
     assert got.columns[: len(docs.columns)] == docs.columns
     assert tiling.judge(documents([]), bench, sent_words=sent_words).count() == 0
     assert not any(r.contaminated for r in tiling.judge(docs, bench.limit(0), sent_words=sent_words).collect())
+
+
+def test_both_ways_agree(spark, documents):
+    rng = random.Random(14)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 40))) for _ in range(80)] + ["a " * 700]
+    bench = spark.createDataFrame([(k % 15, " ".join(rng.choice("abcd") for _ in range(rng.randint(1, 20)))) for k in range(25)], "item_id long, text string")
+    key = lambda r: (r.doc_id, r.contaminated, round(r.max_coverage, 12), r.n_items, r["items"])
+    sent, joined = (sorted(map(key, tiling.judge(documents(texts), bench, sent_words=n).collect())) for n in (10**6, 0))
+    assert sent == joined and any(r[1] for r in sent)
+
+
+def test_equal_words_take_little():
+    """A stretch of a diagonal for every place, not a pair for every two."""
+    bench = tiling.Benchmark([(1, "a " * 200), (2, "b c d e")])
+    began = time.time()
+    assert bench.coverages("a " * 20_000) == [(1, 1.0)]
+    assert time.time() - began < 10 and len(bench.seeds("a " * 20_000)[0]) < 20_300
