@@ -3,19 +3,25 @@
 A text is compressed whole, in pieces, once with each dictionary. The
 difference of the sizes over their sum, and the size over the length, go
 through a logistic curve fitted to labelled texts that no dictionary holds.
+
+The labelled texts are a bounded sample of rows, read whole: half of them are cut
+into pieces, of which a bounded sample makes the dictionaries; of the other half
+only the sizes reach the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns
+from .common import add_columns, slices
 
 #: Bytes compressed at once; small, so that what counts is the dictionary and not the text's own past.
 PIECE = 2048
@@ -44,7 +50,7 @@ class Model:
 
     def features(self, text: str | None) -> np.ndarray:
         raw = (text or "").encode("utf-8", "surrogatepass")
-        if not raw:
+        if not raw or not self.dictionaries:
             return np.zeros(4)
         good, bad = (sum(len(c.compress(raw[i : i + PIECE])) for i in range(0, len(raw), PIECE)) for c in self.compressors())
         difference, ratio = (bad - good) / (bad + good), min(good, bad) / len(raw)
@@ -70,54 +76,68 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int = 60)
     return weights, float(w[-1] - weights @ mean)
 
 
-def fit(rows: list[tuple[str, int]], seed: int = 11) -> Model:
-    """rows: (text, label). Half of the rows make the dictionaries, the other half the curve."""
-    rng = np.random.default_rng(seed)
-    order = rng.permutation(len(rows))
-    rate = (sum(y for _, y in rows) + 1) / (len(rows) + 2)
-    prior = Model(bias=float(np.log(rate / (1 - rate))))
-    made = []
-    for label in (1, 0):
-        own = [rows[i][0].encode("utf-8", "surrogatepass") for i in order[::2] if rows[i][1] == label]
-        pieces = [x[i : i + PIECE] for x in own for i in range(0, min(len(x), 16 * PIECE), PIECE)]
-        pieces = [x for x in pieces if len(x) >= 32]
-        rng.shuffle(pieces)
-        if len(pieces) < 8:
-            return prior
-        raw = b"".join(pieces)
-        try:
-            made.append(zstandard.train_dictionary(min(DICTIONARY, max(1024, len(raw) // 4)), pieces[:4000]).as_bytes())
-        except zstandard.ZstdError:  # too little or too uniform text for a trained one: the text itself
-            made.append(raw[-DICTIONARY:])
-    model = Model((made[0], made[1]))
-    rest = [rows[i] for i in order[1::2]]
-    y = np.array([label for _, label in rest], float)
-    if len(set(y)) < 2:
-        return prior
-    model.weights, model.bias = logistic(np.array([model.features(x) for x, _ in rest]), y)
-    return model
-
-
-def train(docs: DataFrame, labels: DataFrame, learn_from: Column, label: str = "quality", per_class: int = 1500) -> Model:
-    """A model learned from the rows of labels where learn_from holds; per_class bounds the rows of each label.
-
-    The rows taken are those of the smallest hash of the id. They are chosen by
-    id alone, so that only their texts are read out of docs.
+def dictionary(pieces: list[bytes]) -> bytes | None:
+    """A dictionary trained on pieces of text, or where they are too few or too uniform for that as many of them as it holds."""
+    if len(pieces) < 8:
+        return None
+    total = sum(map(len, pieces))
+    size = min(DICTIONARY, max(1024, total // 4))
+    try:
+        return zstandard.train_dictionary(size, pieces).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(pieces)[:DICTIONARY]
+
+
+def train(docs: DataFrame, labels: DataFrame, learn_from: Column, label: str = "quality", per_class: int = 1500, pieces: int = 4000) -> Model:
+    """A model learned from the rows of labels where learn_from holds.
+
+    per_class bounds the rows of each label, those of the smallest hash of the
+    id, and pieces the stretches of PIECE bytes of each label, those of the
+    smallest hash; they come from whole texts. Rows are chosen by id alone, so
+    that only their texts are read out of docs. Repeated rows count as one;
+    without labels, or with one label only, every score is the share of label 1.
     """
     known = labels.filter(learn_from & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("label"))
     ids: dict[int, int] = {}
     for value in (0, 1):
         ids |= {r["doc_id"]: value for r in known.filter(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()}
+    model = Model()
     if not ids:
-        return fit([])
-    spark = docs.sparkSession
-    wanted = F.broadcast(spark.createDataFrame(pd.DataFrame({"doc_id": list(ids), "label": list(ids.values())})))
-    rows = docs.select("doc_id", "text").join(wanted, "doc_id").filter(F.col("text").isNotNull()).select("text", "label")
-    return fit(sorted({(r["text"], r["label"]) for r in rows.collect()}))
+        return model
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(pd.DataFrame({"doc_id": list(ids), "label": list(ids.values())})))
+    rows = docs.select("doc_id", "text").join(wanted, "doc_id").filter(F.col("text").isNotNull()).select("text", "label", F.xxhash64("text").alias("key"))
+    cut = [r for value in (0, 1) for r in pieces_of(rows.filter((F.col("key") % 2 == 0) & (F.col("label") == value))).orderBy("key", "at").limit(pieces).collect()]
+    made = [dictionary([bytes(r["piece"]) for r in cut if r["label"] == value]) for value in (1, 0)]
+    if all(made):
+        model.dictionaries = (made[0], made[1])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    sizes = add_columns(rows.filter("key % 2 <> 0"), "text", lambda values: [tuple(map(float, shared.value.features(x))) for x in values], ", ".join(f"f{k} double" for k in range(4)), drop=True)
+    found = sorted(tuple(r) for r in sizes.select("key", "label", *(f"f{k}" for k in range(4))).distinct().collect())
+    y = np.array([r[1] for r in found], float)
+    rate = (sum(ids.values()) + 1) / (len(ids) + 2)
+    if not model.dictionaries or len(set(y)) < 2:
+        return Model(bias=float(np.log(rate / (1 - rate))))
+    model.weights, model.bias = logistic(np.array([r[2:] for r in found]), y)
+    return Model(model.dictionaries, model.weights, model.bias)
+
+
+def pieces_of(rows: DataFrame) -> DataFrame:
+    """label, key (a hash of text and place), at and piece of every PIECE bytes of every text; shorter ends than 32 bytes are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 16):
+            labels, keys = batch.column("label").to_pylist(), batch.column("key").to_pylist()
+            for label, key, text in zip(labels, keys, batch.column("text").to_pylist(), strict=True):
+                raw = text.encode("utf-8", "surrogatepass")
+                own = [raw[i : i + PIECE] for i in range(0, len(raw), PIECE) if len(raw) - i >= 32]
+                yield pa.RecordBatch.from_arrays([pa.array([label] * len(own), pa.int64()), pa.array([key] * len(own), pa.int64()), pa.array(range(len(own)), pa.int32()), pa.array(own, pa.binary())], ["label", "key", "at", "piece"])
+
+    cut = rows.withColumn("label", F.col("label").cast("long")).mapInArrow(run, "label long, key long, at int, piece binary")
+    return cut.dropDuplicates(["key", "at"]).withColumn("key", F.xxhash64("key", "at"))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of docs and a column ``score`` of every row; null counts as the empty text."""
+    """The columns of docs and a column ``score`` of every row; null counts as the empty text, and a long text is read whole."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     return add_columns(docs, "text", lambda values: [(shared.value.score(x),) for x in values], "score double")
