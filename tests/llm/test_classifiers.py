@@ -1,6 +1,10 @@
 import hashlib
+import itertools
+import math
 import random
 import re
+import string
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -139,7 +143,7 @@ def tagger(spark, sf):
 
 
 def test_tagger_on_held_out_spans(tagger):
-    x, y = pii.examples(["some plain words that stand around here and there " * 4], 400, seed=77)
+    x, y = pii.examples([("some plain words that stand around here and there " * 4, [])], 400, seed=77)
     found = tagger.decode(x)
     assert (found == y).mean() > 0.97 and (found[y > 0] == y[y > 0]).mean() > 0.9
 
@@ -152,12 +156,102 @@ def test_pii_rows(documents, tagger):
     got = {r.doc_id: r for r in pii.find(docs, tagger).collect()}
     assert (got[1].n_phone, got[1].n_email, got[1].spans) == (1, 1, "email:10027:10047,phone:5:22")
     assert got[2].spans == got[3].spans == got[4].spans == "" and got[None].n_ip == 1
-    assert got[5].base_spans == "" and (got[5].spans == "" or got[5].spans.startswith("email:"))
+    assert got[5].base_spans == "" and got[5].spans == "email:16:59"
     masked = {r.doc_id: r.text for r in pii.mask(docs, tagger).collect()}
     assert masked[1].startswith("call <PHONE> now w") and masked[1].endswith("<EMAIL>") and masked[2] is None and masked[4] == plain
     assert pii.find(documents([]), tagger).count() == 0 and pii.mask(docs, tagger).columns == docs.columns
 
 
+def other_ways(rng):
+    """Personal data as the patterns don't find it: kind, way, and how to write one."""
+    some = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    name = lambda: rng.choice(["maria.lopez", "j_smith", "anna", "kurt-weber", "lee99", "o.brien"])
+    domain = lambda: rng.choice([["acme", "org"], ["uni", "example", "edu"], ["web", "de"], ["shop24", "co", "uk"]])
+    parts = lambda: [str(rng.randint(0, 255)) for _ in range(4)]
+
+    def card(mark):
+        number = some(15)
+        number += next(x for x in "0123456789" if slow_luhn(number + x))
+        return mark.join(number[i : i + 4] for i in range(0, 16, 4))
+
+    return [
+        ("email", "[at]", lambda: f"{name()} [at] {' [dot] '.join(domain())}"),
+        ("email", "(at)", lambda: f"{name()}(at){'.'.join(domain())}"),
+        ("ip", "[.]", lambda: "[.]".join(parts())),
+        ("ip", " . ", lambda: " . ".join(parts())),
+        ("card", ".", lambda: card(".")),
+        ("card", " - ", lambda: card(" - ")),
+        ("phone", "()", lambda: f"({some(3)}) {some(3)}-{some(4)}"),
+        ("phone", "-", lambda: f"{some(3)}-{some(3)}-{some(4)}"),
+        ("phone", ".", lambda: f"{some(3)}.{some(3)}.{some(4)}"),
+    ]
+
+
+def test_recall_and_false_finds_in_text_not_learned_from(spark, tagger):
+    """Spans in other ways of writing in documents that training did not see: nine in ten are found as they are, hardly anything else is."""
+    rng = random.Random(1)
+    held = [r.text for r in table(spark, "/root/testdata/sf0.01", "documents").filter("doc_id > 400 and length(text) > 300 and not text rlike '[0-9@]'").limit(200).collect()]
+    texts, want = [], []
+    for kind, way, write in other_ways(rng):
+        for _ in range(30):
+            text = rng.choice(held)
+            cut = rng.choice([m.start() for m in re.finditer(" ", text)])
+            piece = write()
+            texts.append(f"{text[:cut]} {piece}{rng.choice([' ', ', ', '. '])}{text[cut + 1 :]}")
+            want.append((kind, way, (kind, cut + 1, cut + 1 + len(piece))))
+    found, false = Counter(), 0
+    for text, (kind, way, span), labels in zip(texts, want, pii.decode(tagger, texts), strict=True):
+        spans = pii.all_spans(text, pii.base_spans(text), labels)
+        found[kind, way] += span in spans
+        false += sum(x != span for x in spans)
+    assert min(found.values()) >= 24 and sum(found.values()) >= 0.92 * len(texts) and false <= 0.05 * len(texts), found
+
+
+def test_labels_and_likelihood_against_enumeration():
+    """Viterbi and the CRF's sum over all sequences, on windows short enough to list them."""
+    model, rng = BiLstmCrf(6, 3, embedding=3, hidden=4, seed=2), np.random.default_rng(1)
+    model.p["A"], model.p["S"] = rng.normal(size=(3, 3)).astype(np.float32), rng.normal(size=3).astype(np.float32)
+    x = rng.integers(0, 6, (5, 5))
+    e = model.emissions(x).astype(np.float64)
+    every = np.array(list(itertools.product(range(3), repeat=5)))
+    scores = np.array([[own[range(5), y].sum() + model.p["S"][y[0]] + model.p["A"][y[:-1], y[1:]].sum() for y in every] for own in e])
+    assert (model.decode(x) == every[scores.argmax(1)]).all()
+    y = every[rng.integers(0, len(every), 5)]
+    want = np.mean([np.log(np.exp(s).sum()) - s[(every == own).all(1)][0] for s, own in zip(scores, y, strict=True)])
+    assert model.crf(e, y)[0] == pytest.approx(want, rel=1e-5)
+
+
+def test_overlapping_windows_are_reconciled(tagger):
+    """Every character has the label that the window gives it which shows most around it; batches of windows don't matter."""
+    text = "Phones " + " or ".join(f"({200 + k}) 555-{1000 + 37 * k}" for k in range(40)) + " end"
+    (start, end), *rest = pii.regions(text)
+    assert not rest
+    codes = np.pad(pii.numbers(text[start:]), (0, pii.WINDOW), constant_values=pii.OTHER - 1)
+    places = pii.windows(start, end)
+    labels = tagger.decode(np.stack([codes[w - start : w - start + pii.WINDOW] for w in places]))
+    want = np.zeros(len(text), int)
+    for c in range(start, len(text)):
+        around = [(min(c - w if w > start else pii.WINDOW, w + pii.WINDOW - 1 - c), -k) for k, w in enumerate(places) if w <= c < w + pii.WINDOW]
+        if around:
+            k = -max(around)[1]
+            want[c] = labels[k][c - places[k]]
+    for at_once in (1, 512):
+        assert (pii.decode(tagger, [text], at_once)[0] == want).all()
+
+
+def test_spans_touch_no_base_span():
+    """Against a look at all of them, however many there are."""
+    rng = random.Random(4)
+    for _ in range(200):
+        text = "(202) 555-0143 " * 6
+        base = [("ip", a, a + rng.randint(1, 30)) for a in rng.sample(range(80), rng.randint(0, 12))]
+        labels = np.zeros(len(text), np.int8)
+        for k in range(0, 90, 15):
+            labels[k : k + 14], labels[k] = 8, 7
+        want = [("phone", k, k + 14) for k in range(0, 90, 15) if not any(a < k + 14 and b > k for _, a, b in base)]
+        assert [s for s in pii.all_spans(text, base, labels) if s[0] == "phone"] == want
+
+
 def test_masking_overlaps():
     assert pii.masked("abcdef", "email:1:3,phone:2:5") == "a<EMAIL>f"
 
@@ -186,10 +280,85 @@ def test_secrets(documents):
         assert by[k].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
         assert (by[k].n_assign, by[k].n_access, by[k].n_hex) == tuple(sum(x[1] == i for x in base) for i in range(3))
     random_found = sum("random:" in by[1000 + k].spans for k in range(60))
-    assert random_found > 20 and not any("random:" in by[2000 + k].spans for k in range(60))
+    assert random_found >= 54 and not any("random:" in by[2000 + k].spans for k in range(60))
     assert secrets_scan.digest(secrets_scan.scan(documents([]))).count() == 0
 
 
+ALPHABETS = {
+    "base64": (string.ascii_letters + string.digits + "+/", 24, 0.85),
+    "url": (string.ascii_letters + string.digits + "-_", 20, 0.85),
+    "lower": (string.ascii_lowercase + string.digits, 40, 0.8),
+    "upper": (string.ascii_uppercase + string.digits, 40, 0.8),
+    "base32": (string.ascii_uppercase + "234567", 64, 0.8),
+    "upper hex": (string.digits + "ABCDEF", 32, 0.8),
+}
+NATURAL = "the of and to in that is for with on as by at from this have not are but had his they were which one you all her she there would their will when who more no if out so what up its about than into them can only other time new some could these two may first then do any like my now over such our man me even most made after also did many off before must well back through years much where your way down should because long each just state those people too mr how little good world make very year still see own work men day get here old between both life being under three never know same last another while us might great go come since against right came take used himself few house use during without again place around however small found part".split()
+
+
+def test_recall_and_false_finds_by_encoding(documents):
+    """Random tokens of each alphabet at the length from which on most are found, and words of ordinary text put together, with separators or without."""
+    rng = random.Random(22)
+    rows, kind = [], {}
+    for name, (letters, size, _) in ALPHABETS.items():
+        for _ in range(40):
+            kind[len(rows)] = name
+            rows.append((len(rows), f"key is {''.join(rng.choice(letters) for _ in range(size))} of it"))
+    for _ in range(40):
+        kind[len(rows)] = "uuid"
+        rows.append((len(rows), f"id {uuid.UUID(int=rng.getrandbits(128))} here"))
+    for k in range(400):
+        token = rng.choice(["", "-", "_", "/"]).join(rng.choice(NATURAL) for _ in range(rng.randint(6, 14)))
+        kind[len(rows)] = "natural"
+        rows.append((len(rows), f"see {token if k % 4 else token + '/20' + str(k % 30)} there, and {'1' * 10 + str(10**12 + k)}"))
+    found, total = Counter(kind[r.doc_id] for r in secrets_scan.digest(secrets_scan.scan(documents(rows))).collect() if r.n_random), Counter(kind.values())
+    for name, (_, _, least) in ALPHABETS.items():
+        assert found[name] >= least * total[name], name
+    assert found["uuid"] >= 0.8 * total["uuid"] and found["natural"] <= 4
+
+
+def test_tests_of_randomness_against_numpy(spark):
+    """The three tests and Fisher's way to join them, on random and on ordinary tokens."""
+    rng = random.Random(3)
+    tokens = ["".join(rng.choice(string.ascii_lowercase + string.digits) for _ in range(rng.randint(20, 60))) + "7a" for _ in range(30)] + ["abcabcabc1abcabcabc1abc", "a1" * 15]
+    df = spark.createDataFrame([(x, x, "lower") for x in tokens], "core string, bare string, encoding string")
+    normal = lambda z: 1 / (1 + math.exp(1.5976 * max(-8, min(8, z)) + 0.07056 * max(-8, min(8, z)) ** 3))
+    for r in secrets_scan.tested(df).collect():
+        x = np.array([secrets_scan.ALPHABETS["lower"].index(c) + 1 for c in r.core])
+        n, k = len(x), 36
+        chi = ((np.bincount(x - 1, minlength=k) - n / k) ** 2 / (n / k)).sum()
+        z = lambda chi, free: ((chi / free) ** (1 / 3) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free))
+        high = x > (k + 1) / 2
+        a, b = high.sum(), n - high.sum()
+        runs = 1 + (high[1:] != high[:-1]).sum()
+        spread = math.sqrt(max(2 * a * b * (2 * a * b - n) / (n * n * (n - 1)), 1e-9))
+        z_runs = abs(runs - (2 * a * b / n + 1)) / spread if a * b else 8
+        d = x - x.mean()
+        z_lag = abs((d[1:] * d[:-1]).sum() / (d * d).sum()) * math.sqrt(n)
+        half = max(0, -(math.log(normal(z(chi, k - 1))) + math.log(2 * normal(z_runs)) + math.log(2 * normal(z_lag))))
+        assert r.like_random == pytest.approx(math.exp(-half) * (1 + half + half * half / 2), rel=1e-6, abs=1e-12)
+        shift = n * (k * secrets_scan.SAME - 1)
+        assert r.p == pytest.approx(normal(-z(chi * (k - 1 + shift) / (k - 1 + 2 * shift), (k - 1 + shift) ** 2 / (k - 1 + 2 * shift))), rel=1e-6, abs=1e-12)
+
+
+def test_thresholds_against_the_rule(spark):
+    """The largest set of finds whose expected share of false ones is small enough, class by class."""
+    rng = random.Random(5)
+    rows = [(rng.randint(0, 3), rng.choice([rng.randint(0, 30), rng.randint(0, 120)]), rng.random() < 0.7) for _ in range(300)]
+    got = {r.length: r.from_bin for r in secrets_scan.thresholds(spark.createDataFrame(rows, "length int, bin int, possible boolean"), 0.1).collect()}
+    for size in range(4):
+        own = [(b, p) for n, b, p in rows if n == size]
+        fit = [b for b, _ in own if (finds := sum(p for x, p in own if x >= b)) and 10 ** (-b / 10) * len(own) / finds <= 0.1]
+        assert got.get(size) == (min(fit) if fit else None)
+
+
+def test_many_tokens_in_one_text(documents):
+    """Places of thousands of matches, and base spans among them."""
+    text = "token=abcdef123 0123456789abcdef0123456789 Zx9+kQ2mB7/pL4wT8rV1cN6j " * 300
+    (got,) = secrets_scan.digest(secrets_scan.scan(documents([(1, text)]))).collect()
+    want = ",".join(f"{secrets_scan.KINDS[kind]}:{a}:{b}" for a, kind, b in slow_secrets(text))
+    assert got.base_sha256 == hashlib.sha256(want.encode()).hexdigest() and got.n_random == 300
+
+
 def test_rates_are_the_least_squares_ones(spark):
     rng = np.random.default_rng(4)
     p = rng.dirichlet([0.3, 0.3, 0.3], 200)
