@@ -7,8 +7,14 @@ sum, the lowest density on that path is the threshold; among the elements that
 reach it, the one with the largest sum holds the article, with what stands beside
 it and reaches the threshold too, or is a heading. No element's name decides.
 
-Elements that say what they are (navigation, footers, forms, adverts, comments
-and so on) are taken out before any density is computed.
+Elements whose tag or role says what they are (navigation, footers, forms and so
+on) are taken out before any density is computed. So are blocks with a class or id
+made of nothing but such words (``sidebar``, ``cookie-notice``, ``site-header``),
+unless they hold an article or main element. Where such a word stands beside other
+words (``td-ad-slot``) density decides: the block goes if it is less dense than the
+body. Names of formatting elements, and words that say what a block has or lacks
+(``with-sidebar``, ``has-banner``), count for nothing; nor do names count at all
+where nothing would be left of the page.
 """
 
 from __future__ import annotations
@@ -16,6 +22,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +46,17 @@ DROPPED_WORDS = frozenset(
     "cookie cookies consent gdpr notice notices banner banners popup modal overlay newsletter subscribe subscription signup "
     "login share sharing social related recommended recommendations trending form search skip toolbar".split()
 )
-#: A class or id with one of these words is the article's own, whatever else it says.
-KEPT_WORDS = frozenset("article content main post entry story".split())
+#: Words that may stand beside those without making them say something else.
+BESIDE = frozenset(
+    "site page top bottom main left right center inner outer box list item bar wrapper wrap section block area container content group panel title text links link "
+    "global primary secondary mobile desktop side entry post article blog user js is the and of a".split()
+)
+#: Words of the article itself: a name with one of them is its own, but for those of OTHERS.
+OWN = frozenset("article content main post entry story".split())
+OTHERS = frozenset("comment comments ad ads advert sidebar related footer nav navigation menu share sharing respond replies newsletter sponsored promo".split())
+#: A block that has or lacks something is no such thing itself.
+ABOUT = frozenset("with has have no without layout not".split())
+HEADERS = frozenset("header masthead".split())
 CLOSES_P = frozenset(
     "address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul li dt dd".split()
 )
@@ -48,7 +64,7 @@ SIBLINGS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
     "dt": ({"dt", "dd"}, {"dl"}),
     "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr", "td", "th"}, {"table", "thead", "tbody", "tfoot"}),
+    "tr": ({"tr"}, {"table", "thead", "tbody", "tfoot"}),
     "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select", "datalist"}),
@@ -65,33 +81,55 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
 
 
 class Node:
-    __slots__ = ("chars", "children", "density", "end", "links", "link_tags", "name", "parent", "parts", "start", "sum", "tags", "dropped")
+    """An element; dropped if it is no text for certain, named if a class or id says so (1) or may say so (2)."""
+
+    __slots__ = ("chars", "children", "density", "dropped", "holds", "links", "link_tags", "name", "named", "parent", "parts", "sum", "tags")
 
-    def __init__(self, name: str, parent: Node | None, dropped: bool):
-        self.name, self.parent, self.dropped = name, parent, dropped
+    def __init__(self, name: str, parent: Node | None, dropped: bool, named: int = 0):
+        self.name, self.parent, self.dropped, self.named = name, parent, dropped, named
         self.children: list[Node] = []
         self.parts: list[str | Node] = []
         self.chars = self.tags = self.links = self.link_tags = 0
         self.density = self.sum = 0.0
+        self.holds = False
 
 
-def says_boilerplate(name: str, attributes: dict[str, str], inside_article: bool) -> bool:
+def no_text(name: str, attributes: dict[str, str], inside_article: bool) -> bool:
+    """Whether an element's tag, role or state says that it is none of the text."""
     if name in DROPPED or name == "header" and not inside_article:
         return True
-    if not attributes:
-        return False
-    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in DROPPED_ROLES:
-        return True
-    if name in ("body", "html", "article", "main"):
-        return False
-    words = set(WORDS.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
-    return bool(words & DROPPED_WORDS) and not (words & KEPT_WORDS and not words & {"comment", "comments", "ad", "ads", "sidebar", "related", "footer", "header", "nav", "share"})
+    return bool(attributes) and ("hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in DROPPED_ROLES)
+
+
+def named(name: str, attributes: dict[str, str], inside_article: bool) -> int:
+    """1 if a class or id says that a block is no text, 2 if it may, else 0."""
+    if not attributes or name in INLINE or name in ("body", "html", "article", "main"):
+        return 0
+    found = 0
+    for token in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+        words = set(WORDS.findall(token))
+        says = words & DROPPED_WORDS - (HEADERS if inside_article else frozenset())
+        if not says or words & ABOUT or words & OWN and not says & OTHERS:
+            continue
+        if words <= DROPPED_WORDS | BESIDE:
+            return 1
+        found = 2
+    return found
 
 
 def parse(page: str) -> Node:
     """A tree of elements; unclosed and misplaced tags are mended as the HTML standard does for the common cases."""
     root = Node("#root", None, False)
     at, here, n = 0, root, len(page)
+    opened: Counter[str] = Counter()  # so that no search goes up for what isn't open
+
+    def leave(top: Node) -> Node:
+        """Closes what is open below top."""
+        node = here
+        while node is not top:
+            opened[node.name] -= 1
+            node = node.parent
+        return top
 
     def text(piece: str) -> None:
         if piece and not here.dropped:
@@ -120,38 +158,34 @@ def parse(page: str) -> Node:
             if name == "br":
                 text(" ")
                 continue
-            node = here
+            node = here if opened[name] else root
             while node is not root and node.name != name:
                 if name in INLINE and node.name not in INLINE:  # formatting doesn't close blocks
                     node = root
                     break
                 node = node.parent
             if node is not root:
-                here = node.parent
+                here = leave(node.parent)
             continue
         if name == "br":
             text(" ")
-        if name in CLOSES_P:
+        if name in CLOSES_P and opened["p"]:
             node = here
             while node is not root and node.name in INLINE:
                 node = node.parent
             if node.name == "p":
-                here = node.parent
+                here = leave(node.parent)
         if name in SIBLINGS:
             closed, limit = SIBLINGS[name]
-            node, found = here, None
-            while node is not root and node.name not in limit:
-                if node.name in closed:
-                    found = node
+            node = here if any(opened[x] for x in closed) else root
+            while node is not root and node.name not in limit and node.name not in closed:
                 node = node.parent
-            if found:
-                here = found.parent
+            if node.name in closed:
+                here = leave(node.parent)
         raw = page[m.end() : at - 1]
         attributes = {a[1].lower(): html.unescape(a[2] or a[3] or a[4] or "") for a in ATTR.finditer(raw)} if raw.strip(" /") else {}
-        inside = here if name == "header" else root
-        while inside is not root and inside.name not in ("article", "main"):
-            inside = inside.parent
-        node = Node(name, here, here.dropped or says_boilerplate(name, attributes, inside is not root))
+        inside = opened["article"] + opened["main"] > 0
+        node = Node(name, here, here.dropped or no_text(name, attributes, inside), named(name, attributes, inside))
         here.children.append(node)
         here.parts.append(node)
         if name in VOID:
@@ -162,6 +196,7 @@ def parse(page: str) -> Node:
             continue
         if not raw.endswith("/") or name not in ("svg", "math"):
             here = node
+            opened[name] += 1
     return root
 
 
@@ -175,48 +210,82 @@ def measured(root: Node) -> list[Node]:
     order.reverse()
     for node in order:
         node.chars = sum(len("".join(x.split())) for x in node.parts if x.__class__ is str)
+        node.tags = node.links = node.link_tags = 0
+        node.holds = node.name in ("article", "main", "body")
         for x in node.children:
             if not x.dropped:
                 node.chars += x.chars
                 node.tags += x.tags + 1
                 node.links += x.links
                 node.link_tags += x.link_tags + (x.name == "a")
+                node.holds |= x.holds
         if node.name == "a":
             node.links = node.chars
     body = next((x for x in order if x.name == "body"), root)
     share = body.links / body.chars if body.chars else 0.0
     for node in order:
-        if node.chars:
-            c, t, lc, lt = node.chars, max(node.tags, 1), max(node.links, 1), max(node.link_tags, 1)
-            base = math.log(c / max(c - node.links, 1) * node.links + share * c + math.e)
-            node.density = c / t * max(math.log(c / lc * t / lt), 0.0) / base if base > 0 else 0.0
+        node.density = density(node.chars, node.tags, node.links, node.link_tags, share)
         # Formatting is part of its block: it would count a paragraph's characters again.
         node.sum = sum(x.density for x in node.children if not x.dropped and x.name not in INLINE) or node.density
     return order
 
 
+def density(chars: int, tags: int, links: int, link_tags: int, share: float) -> float:
+    """Composite text density: characters a tag, damped by the share of links; share is that of the whole body."""
+    if not chars:
+        return 0.0
+    base = math.log(chars / max(chars - links, 1) * links + share * chars + math.e)
+    ratio = chars / max(links, 1) * max(tags, 1) / max(link_tags, 1)
+    return chars / max(tags, 1) * max(math.log(ratio), 0.0) / base
+
+
+def without_named(root: Node) -> list[Node]:
+    """The measured elements that are left without those whose name says that they are no text; all if nothing would be left."""
+    order = measured(root)
+    body = next((x for x in order if x.name == "body"), root)
+    gone = [x for x in order if x.named and not x.holds and (x.named == 1 or x.density < body.density)]
+    if not gone:
+        return order
+    for x in gone:
+        x.dropped = True
+    left = measured(root)
+    if root.chars or not root.parts:
+        return left
+    for x in gone:
+        x.dropped = False
+    return measured(root)
+
+
 def article(root: Node) -> list[Node]:
     """The element of the largest density sum among those that reach the threshold of the body's path, and what belongs to it beside it.
 
     To either side siblings are taken as long as they reach the threshold or are headings.
+    Of elements with equal sums the one with more characters holds the article, of these the one that closes first.
     """
-    order = measured(root)
+    order = without_named(root)
     body = next((x for x in order if x.name == "body"), root)
     inside = [x for x in order if x.name not in INLINE and x.chars]
     if not inside:
         return [body]
     top = max(inside, key=lambda x: (x.sum, x.chars))
+    threshold = path_threshold(top, body)
+    best = max((x for x in inside if x.density >= threshold), key=lambda x: (x.sum, x.chars))
+    return [best] if best is body or best.parent is None else beside(best, threshold)
+
+
+def path_threshold(top: Node, body: Node) -> float:
+    """The lowest density on the way from an element up to the body."""
     threshold, node = top.density, top
     while node is not None and node is not body.parent:
         threshold = min(threshold, node.density)
         node = node.parent
-    best = max((x for x in inside if x.density >= threshold), key=lambda x: (x.sum, x.chars))
-    return [best] if best is body or best.parent is None else beside(best, threshold)
+    return threshold
 
 
 def beside(best: Node, threshold: float) -> list[Node]:
     """An element and what belongs to it to either side; if that is all of its parent, the same of the parent."""
-    belongs = lambda x: x.name in HEADINGS or x.name not in INLINE and x.density >= threshold
+    # Articles beside an article are parts of one page.
+    belongs = lambda x: x.name in HEADINGS or x.name == best.name == "article" or x.name not in INLINE and x.density >= threshold
     while True:
         siblings = [x for x in best.parent.children if not x.dropped and x.chars]
         first = last = next(k for k, x in enumerate(siblings) if x is best)

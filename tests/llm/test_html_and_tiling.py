@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 import time
 
@@ -46,6 +47,81 @@ def test_density_decides_where_no_name_does(page):
     assert "Short note" not in got and got.endswith(f"T\n{LONG}\n{LONG}")
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<body><div class='layout with-sidebar'><article><h1>T</h1><p>{LONG}</p></article></div></body>", f"T\n{LONG}"),
+        (f"<body><div class='has-banner'><h1>T</h1><p>{LONG}</p></div></body>", f"T\n{LONG}"),
+        (f"<body><div class='sidebar'><article><p>{LONG}</p></article></div></body>", LONG),
+        (f"<body><div class='sidebar'><p>{LONG}</p></div></body>", LONG),
+        (f"<body><article><header class='entry-header'><h1>T</h1></header><p>{LONG}</p></article></body>", f"T\n{LONG}"),
+        (f"<body><main><div class='page-header'><h1>T</h1></div><p>{LONG}</p></main></body>", f"T\n{LONG}"),
+        (f"<body><div class='site-header'><p>{TEXT}</p></div><main><p>{LONG}</p></main></body>", LONG),
+        (f"<body><article><p>{TEXT} <span class='share'>shared</span> word {TEXT}</p></article></body>", f"{TEXT} shared word {TEXT}"),
+        (f"<body><article><p>{LONG}</p></article><article><p>{TEXT}</p></article></body>", f"{LONG}\n{TEXT}"),
+        (f"<body><article><p>{LONG}</p><div class='cookie-notice'><p>{LONG}</p></div><div id='comments'><p>{LONG}</p></div></article></body>", LONG),
+        (f"<body><div class=c><p>{LONG}</p><div class='td-ad-rotate'><p><a href=x>Buy now</a></p></div><p>{LONG}</p></div></body>", f"{LONG}\n{LONG}"),
+        (f"<body><div class=c><p>{LONG}</p><div class='ad-hoc'><p>{LONG}</p></div></div></body>", f"{LONG}\n{LONG}"),
+    ],
+)
+def test_names_say_no_more_than_they_do(page, text):
+    assert html_extract.main_text(page) == text
+
+
+def slow_density(node, share):
+    """Composite text density of an element, by walking all that is below it."""
+    chars = tags = links = link_tags = 0
+    todo = [(node, node.name == "a")]
+    while todo:
+        x, linked = todo.pop()
+        own = sum(len("".join(part.split())) for part in x.parts if isinstance(part, str))
+        chars, links = chars + own, links + own * linked
+        for child in x.children:
+            if not child.dropped:
+                tags, link_tags = tags + 1, link_tags + (child.name == "a")
+                todo.append((child, linked or child.name == "a"))
+    if not chars:
+        return 0.0
+    base = math.log(chars / max(chars - links, 1) * links + share * chars + math.e)
+    return chars / max(tags, 1) * max(math.log(chars / max(links, 1) * max(tags, 1) / max(link_tags, 1)), 0) / base
+
+
+def test_densities_and_choice_on_random_trees():
+    rng = random.Random(17)
+
+    def tree(depth):
+        name = rng.choice(["div", "section", "ul", "p", "b", "a", "nav"]) if depth else "div"
+        inner = "".join(tree(depth + 1) if depth < 5 and rng.random() < 0.6 else "w" * rng.randint(0, 30) + " " for _ in range(rng.randint(1, 4)))
+        return f"<{name}>{inner}</{name}>"
+
+    for _ in range(200):
+        root = html_extract.parse(f"<html><body>{tree(0)}{tree(0)}</body></html>")
+        every = html_extract.measured(root)
+        body = next(x for x in every if x.name == "body")
+        walk = lambda x: [x, *(z for y in x.children if not y.dropped for z in walk(y))]
+        assert sorted(map(id, walk(root))) == sorted(map(id, every))
+        share = body.links / body.chars if body.chars else 0
+        for x in every:
+            assert x.density == pytest.approx(slow_density(x, share))
+            below = [y.density for y in x.children if not y.dropped and y.name not in html_extract.INLINE]
+            assert x.sum == pytest.approx(sum(below) or x.density)
+        inside = [x for x in every if x.name not in html_extract.INLINE and x.chars]
+        if inside:
+            top = max(inside, key=lambda x: (x.sum, x.chars))
+            path = [x for x in walk(body) if any(y is top for y in walk(x))]
+            assert html_extract.path_threshold(top, body) == min(x.density for x in path)
+            best = max((x for x in inside if x.density >= min(y.density for y in path)), key=lambda x: (x.sum, x.chars))
+            chosen = html_extract.article(root)
+            assert any(x is best for top_ in chosen for x in walk(top_))
+
+
+def test_unmatched_tags_take_linear_time():
+    began = time.time()
+    html_extract.main_text("<div>" * 20_000 + "</section>" * 20_000 + "x")
+    html_extract.main_text("<div>" * 20_000 + "<li>x" * 20_000)
+    assert time.time() - began < 10
+
+
 def test_long_and_deep_pages():
     assert html_extract.main_text("<div>" * 20_000 + "x" * 10) == "x" * 10
     assert len(html_extract.main_text(f"<article><p>{'word ' * 300_000}</p></article>")) == 5 * 300_000 - 1
