@@ -83,14 +83,17 @@ def fit(rows: list[tuple[str, str]], idf: np.ndarray, epochs: int = 6, batch: in
     if len(classes) < 2:
         return model
     rng = np.random.default_rng(seed)
-    examples = []
-    for text, y in rows:
+    # A fifth of the texts, with their slices, is set aside for the temperature.
+    examples, aside, learned = [], [], []
+    for k, i in enumerate(rng.permutation(len(rows))):
+        text, y = rows[i]
         start = int(rng.integers(0, max(1, len(text) - 60)))
-        examples += [(x, classes.index(y)) for x in (text, text[start : start + int(rng.integers(8, 60))])]
-    order = rng.permutation(len(examples))
-    aside, learned = order[: len(order) // 5], order[len(order) // 5 :]
+        for x in (text, text[start : start + int(rng.integers(8, 60))]):
+            (aside if k % 5 == 0 else learned).append(len(examples))
+            examples.append((x, classes.index(y)))
+    learned = np.array(learned, np.int64)
     sparse = {}
-    for i in order:
+    for i in range(len(examples)):
         x = model.features(examples[i][0])
         at = np.flatnonzero(x)
         sparse[i] = (at, x[at])
@@ -116,7 +119,7 @@ def fit(rows: list[tuple[str, str]], idf: np.ndarray, epochs: int = 6, batch: in
             w = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
     model.weights, model.bias = w[:-1], w[-1]
     if len(aside):
-        margins, y = dense(aside) @ w, np.array([examples[i][1] for i in aside])
+        margins, y = dense(np.array(aside)) @ w, np.array([examples[i][1] for i in aside])
         loss = lambda t: -np.log(softmax(margins / t)[np.arange(len(y)), y] + 1e-12).mean()
         model.temperature = float(min(np.geomspace(0.05, 5, 60), key=loss))
     return model
@@ -139,24 +142,33 @@ def document_frequencies(train: DataFrame) -> tuple[int, np.ndarray]:
     return found.pop(-1, 0), np.array([found.get(i, 0) for i in range(1 << BITS)], float)
 
 
-def sample(train: DataFrame, per_class: int) -> list[tuple[str, str]]:
-    """Up to per_class rows of each class, those of the smallest hash of the id."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = train.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_class)
-    # The rows chosen are at most per_class for each class, so they can be sent to every task.
-    texts = train.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+def sample(train: DataFrame, per_class: int, at_most: int) -> list[tuple[str, str]]:
+    """Up to per_class rows of each class and at_most in all, those of the smallest hash of id and text; of too many classes those with the most rows.
+
+    Rows that repeat an id are told apart by their text, rows that repeat both count as one.
+    """
+    known = train.select("lang", F.xxhash64("doc_id", "text").alias("key"))
+    classes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(at_most)
+    n = max(1, min(per_class, at_most // max(1, classes.count())))
+    order = Window.partitionBy("lang").orderBy("key")
+    chosen = known.join(F.broadcast(classes.select("lang")), "lang").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= n).select("lang", "key")
+    # At most at_most rows, so they can be sent to every task.
+    texts = train.withColumn("key", F.xxhash64("doc_id", "text")).join(F.broadcast(chosen.distinct()), ["lang", "key"], "left_semi")
     return sorted({(r["text"], r["lang"]) for r in texts.select("text", "lang").collect()})
 
 
-def train(docs: DataFrame, learn_from: Column, per_class: int = 250) -> Model:
-    """A model learned from text and lang of the rows where learn_from holds; per_class bounds the rows that are fitted."""
+def train(docs: DataFrame, learn_from: Column, per_class: int = 250, at_most: int = 4000) -> Model:
+    """A model learned from text and lang of the rows where learn_from holds; per_class and at_most bound the rows that are fitted, each of them whole."""
     rows = docs.select("doc_id", "text", "lang").filter(learn_from & F.col("text").isNotNull() & F.col("lang").isNotNull())
     n, found = document_frequencies(rows)
-    return fit(sample(rows, per_class), np.log((1.0 + n) / (1.0 + found)) + 1.0)
+    return fit(sample(rows, per_class, at_most), np.log((1.0 + n) / (1.0 + found)) + 1.0)
 
 
 def identify(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every row; null texts and texts without a letter are ``und`` with score 0."""
+    """doc_id, held_out, lang_pred and score of every row; null texts and texts without a letter are ``und`` with score 0.
+
+    Repeated rows stay repeated, very long texts are read whole, and of classes that are equally likely the first in order is taken.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     read = docs.select("doc_id", held_out.alias("held_out"), "text")

@@ -83,7 +83,7 @@ def sentences(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray,
 
 def text_key() -> Column:
     """Tells rows of one id apart by their text; rows that repeat both are one document."""
-    return F.xxhash64("text").bitwiseAND(0x7FFFFFFF)
+    return F.xxhash64("text")
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -157,12 +157,16 @@ def dedup(docs: DataFrame) -> DataFrame:
     A passage that a text repeats itself loses its later occurrences too.
     """
     docs = docs.drop("n_sentences", "n_removed", "removed")
-    found = marks(docs).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.array_join(F.transform("marked", lambda x: F.concat_ws(":", x["at"], x["size"])), ",").alias("_marked"))
-    joined = docs.withColumn("_own", text_key()).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")), "left").drop("_id", "_key", "_own")
-    read = joined.withColumn("text", F.concat(F.coalesce("_marked", F.lit("")), F.lit("|"), "text")).drop("_marked")
+    marked = F.array_join(F.transform("marked", lambda x: F.concat_ws(":", x["at"], x["size"])), ",").alias("marked")
+    found = marks(docs).select("doc_id", "key", marked)
+    # The columns of docs stay together in one, whatever they are called.
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("rest"), "text", text_key().alias("own"))
+    joined = whole.join(found, whole["rest.doc_id"].eqNullSafe(found["doc_id"]) & whole["own"].eqNullSafe(found["key"]), "left")
+    read = joined.select("rest", F.concat(F.coalesce("marked", F.lit("")), F.lit("|"), "text").alias("text"))
 
     def run(values: list[str | None]) -> list[tuple]:
         return [cleaned(None, None) if x is None else cleaned(*x.split("|", 1)[::-1]) for x in values]
 
     out = add_columns(read, "text", run, "text string, n_sentences int, n_removed int, removed string", drop=True)
-    return out.select(*docs.columns, "n_sentences", "n_removed", "removed")
+    back = [F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns]
+    return out.select(*back, "n_sentences", "n_removed", "removed")

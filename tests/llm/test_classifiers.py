@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from auditloom.llm import compression, host_rules, language, mixing, pii, secrets_scan
@@ -43,6 +44,58 @@ def test_pieces_of_a_long_text_count_like_the_whole(monkeypatch):
     assert (language.counts(text) == whole).all()
 
 
+def test_temperature_is_fitted_to_texts_not_learned_from(monkeypatch):
+    """A text and its slice are on one side."""
+    rng = random.Random(6)
+    rows = [(f"{k}{rng.choice('ab') * 70}{k}", "ab"[k % 2]) for k in range(100, 150)]
+    seen = []
+    features = language.Model.features
+    monkeypatch.setattr(language.Model, "features", lambda self, text: seen.append(text) or features(self, text))
+    model = language.fit(rows, np.ones(1 << language.BITS))
+    assert model.classes == ["a", "b"] and len(seen) == 100 and all(b in a for a, b in zip(seen[::2], seen[1::2], strict=True))
+
+
+def slow_features(text, idf):
+    """TF-IDF of n-grams, one by one."""
+    codes = [32 if ord(c) < 128 and not "a" <= c <= "z" else ord(c) for c in f" {text.lower()} "]
+    x = np.zeros(1 << language.BITS)
+    for order in range(1, language.ORDERS + 1):
+        for i in range(len(codes) - order + 1):
+            h = 0
+            for c in codes[i : i + order]:
+                h = (h * 0x9E3779B97F4A7C15 + c) % 2**64
+            x[(h * 0xD6E8FEB86659FD93 % 2**64) >> (64 - language.BITS)] += idf[(h * 0xD6E8FEB86659FD93 % 2**64) >> (64 - language.BITS)]
+    return x / (np.sqrt(x @ x) or 1)
+
+
+def test_language_against_brute_force(documents):
+    """Document frequencies, features, weights by one row at a time, and probabilities."""
+    rng = random.Random(2)
+    rows = [(k, " ".join(rng.choice(["der", "und", "Straße"] if k % 2 else ["the", "and", "thing"]) for _ in range(12)), "de" if k % 2 else "en", None) for k in range(30)]
+    docs = documents([*rows, (90, None, "en", None), (91, "x", None, None)])
+    n, found = language.document_frequencies(docs.filter("text is not null"))
+    want = sum((slow_features(x, np.ones(1 << language.BITS)) > 0).astype(int) for _, x, *_ in [*rows, (91, "x")])
+    assert n == 31 and (found == want).all()
+    idf = rng.random() + np.arange(1 << language.BITS) % 3
+    model = language.fit([(x, y) for _, x, y, _ in rows], idf)
+    for _, text, y, _ in rows[:6]:
+        x = slow_features(text, idf)
+        assert language.Model([], idf, None, None).features(text) == pytest.approx(x)
+        z = np.array([sum(x[i] * model.weights[i, c] for i in np.flatnonzero(x)) + model.bias[c] for c in range(2)]) / model.temperature
+        p = np.exp(z) / np.exp(z).sum()
+        got = model.predict(text)
+        assert got[0] == model.classes[int(p.argmax())] == y and got[1] == pytest.approx(p.max())
+
+
+def test_sample_of_languages_is_bounded(documents):
+    rows = [(k, f"text {k}", f"l{min(k, 30) % 31}", None) for k in range(80)] + [(1, "text 1", "l1", None)]
+    docs = documents(rows)
+    assert len(language.sample(docs, 250, 4000)) == 80
+    few = language.sample(docs, 250, 10)
+    assert len(few) == 10 and len({y for _, y in few}) == 10 and ("l30" in {y for _, y in few})
+    assert len(language.sample(docs, 2, 4000)) == 32
+
+
 def test_quality_of_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
@@ -62,6 +115,33 @@ def test_quality_edges(spark, documents):
     assert compression.score(documents([]), bare).count() == 0
 
 
+def test_scores_against_compression_by_hand(spark, documents):
+    """The score is the curve over the sizes of a text's pieces, each compressed with either dictionary."""
+    rows = [(k, f"good words number {k} stand here in a row, quite calm and clean " * (1 + k % 90) if k % 2 else f"BAD!! {k} *** $$$ !! ### BAD!!" * (3 + k % 90)) for k in range(120)]
+    docs, labels = documents(rows), spark.createDataFrame([(k, k % 2) for k in range(120)], "doc_id long, quality int")
+    model = compression.train(docs, labels, F.lit(True))
+    assert model.dictionaries
+    sizes = lambda raw, words: sum(len(zstandard.ZstdCompressor(level=compression.LEVEL, dict_data=zstandard.ZstdCompressionDict(words), write_content_size=False, write_dict_id=False).compress(raw[i : i + compression.PIECE])) for i in range(0, len(raw), compression.PIECE))
+    for r in compression.score(docs.filter("doc_id < 20"), model).collect():
+        raw = r.text.encode()
+        good, bad = (sizes(raw, x) for x in model.dictionaries)
+        d, ratio = (bad - good) / (bad + good), min(good, bad) / len(raw)
+        z = np.array([10 * d, ratio, ratio * ratio, 10 * d * ratio]) @ model.weights + model.bias
+        assert r.score == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+
+def test_dictionaries_learn_from_whole_texts(spark, documents):
+    """What marks the labels lies behind the first 64 KB."""
+    head = " ".join(f"w{k % 977}" for k in range(16_000))
+    rows = [(k, f"{k} {head} {('calm and clean ' if k % 2 else 'BAD ## $$ ') * 3000}") for k in range(12)]
+    docs, labels = documents(rows), spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, quality int")
+    assert len(head) > 64_000
+    cut = compression.pieces_of(docs.select("text", F.lit(1).alias("label"), F.xxhash64("text").alias("key"))).collect()
+    assert sum(len(r.piece) for r in cut) == sum(len(x) for _, x in rows)
+    found = {r.doc_id: r.score for r in compression.score(docs, compression.train(docs, labels, F.lit(True), pieces=500)).collect()}
+    assert min(found[k] for k in range(1, 12, 2)) > max(found[k] for k in range(0, 12, 2))
+
+
 def slow_rules(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     runs = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
@@ -376,10 +456,10 @@ def test_rates_are_the_least_squares_ones(spark):
 
 
 def test_mixing_edges(spark, documents):
-    docs = documents([(1, "good words"), (2, None), (3, ""), (None, "x y"), (1, "good words")])
+    docs = documents([(1, "good words"), (2, None), (3, ""), (None, "x y"), (1, "good words"), (6, "long " * 300_000)])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = mixing.mix(docs, none).collect()
-    assert len(got) == 5 and all(r.rate == 1 for r in got if not r.n_tokens) and all(r.p_clean == pytest.approx(1 / 3) for r in got)
+    assert len(got) == 6 and {r.doc_id: r.n_tokens for r in got}[6] == 300_000 and all(r.rate == 1 for r in got if not r.n_tokens) and all(r.p_clean == pytest.approx(1 / 3) for r in got)
     assert mixing.mix(documents([]), none).count() == 0
 
 

@@ -170,3 +170,12 @@ def test_pieces_have_ten_words_at_most():
     assert {99, 100, 130, 499} <= set(found) and np.diff(found).max() <= span_dedup.PIECE
     same = np.flatnonzero(span_dedup.cuts(np.full(100, h[0]), np.arange(100) == 99))
     assert len(same) == 10
+
+
+def test_passages_beside_columns_of_any_name(documents):
+    """Names that the join itself might use, and rows without an id that differ in their text only."""
+    clash = documents([(None, PASSAGE), (None, f"Something else before it.\n{PASSAGE}"), (2, None), (3, "")])
+    for name in ("_id", "_key", "_own", "rest", "marked", "own", "text.x"):
+        clash = clash.withColumn(name, F.lit(name))
+    got = span_dedup.dedup(clash).collect()
+    assert sorted(r.n_removed > 0 for r in got) == [False, False, False, True] and all(r["_own"] == "_own" and r["text.x"] == "text.x" and r["rest"] == "rest" for r in got)

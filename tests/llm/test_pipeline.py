@@ -1,9 +1,14 @@
+import itertools
+import os
 import random
+import types
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from auditloom.llm import jaccard_join, queries
+from auditloom.llm import compression, jaccard_join, mixing, queries, tiling
+from auditloom.llm.common import discard, held_out, shared_dir, stored
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -58,3 +63,123 @@ def test_near_duplicates_against_all_pairs(spark, documents):
     assert kept == [i for i in sets if root[i] == i]
     strict = {r.doc_id for r in jaccard_join.join(docs).filter("doc_id = component_id").collect()}
     assert len(strict) > len(kept)
+
+
+TABLES = {"labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string"}
+ITEM = "one two three four five six seven eight nine ten eleven twelve thirteen"
+
+
+@pytest.fixture
+def tables(spark, tmp_path):
+    """Writes small tables and gives their folder."""
+
+    def make(**rows):
+        for name, schema in TABLES.items():
+            spark.createDataFrame(rows.get(name, []), schema).withColumn("n_chars", F.lit("clash")).write.parquet(f"{tmp_path}/{name}.parquet")
+        return str(tmp_path)
+
+    return make
+
+
+def odd_documents(documents):
+    """Nulls in every column, empty and very long texts, repeated rows and ids; the columns have names that clash."""
+    good = [(k, f"good words number {k} stand here in a row, quite calm and clean, with a number of others {k * 7}", "en", "s") for k in range(40)]
+    bad = [(100 + k, f"BAD!! {k} *** $$$ !! ### BAD!!" * 3, "en", None) for k in range(40)]
+    odd = [(200, None), (201, ""), (202, "x " * 300_000), (None, "good words without an id, quite calm and clean"), (None, None, None, None), good[3], good[3], (3, "another text of this id, quite calm and clean"), (203, f"good words before it {ITEM} and calm words after"), (204, "good words, write to bob@mail.example.com, quite calm and clean words")]
+    return documents([*good, *bad, *odd])
+
+
+LABELS = [(k, 1, 0) for k in range(40)] + [(100 + k, 0, k % 2) for k in range(40)] + [(None, 1, 1), (3, None, None), (5, 1, 0), (999, 1, 0)]
+
+
+def test_stages_on_odd_rows(spark, documents, tables):
+    """Every stage alone: what it does with each of them, as its docstring says."""
+    docs, folder = odd_documents(documents), tables(labels=LABELS, benchmark=[(1, ITEM), (1, ITEM), (2, None), (None, "short")])
+    count = docs.count()
+    out = {name: stage(spark, docs, folder).collect() for name, stage in corpus_pipeline.STAGES}
+    texts = lambda name, i: sorted((r.text or "" for r in out[name] if r.doc_id == i))
+    assert len(out["quality"]) < count and {r.doc_id for r in out["quality"]} >= set(range(40)) and not any(r.doc_id and 100 <= r.doc_id < 140 for r in out["quality"])
+    near = [r.doc_id for r in out["near_duplicates"]]
+    assert near.count(3) == 4 and {200, 201, 202} <= set(near) and near.count(None) == 2
+    kept = [r.doc_id for r in out["decontamination"]]
+    assert len(kept) == count - 1 and 203 not in kept and kept.count(None) == 2
+    assert len(out["pii"]) == count and texts("pii", 204) == ["good words, write to <EMAIL>, quite calm and clean words"] and texts("pii", 202) == ["x " * 300_000]
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in out["pii"])
+    assert len(out["mixing"]) == count and all(r.rate >= 0 for r in out["mixing"]) and all(r.rate == 1 for r in out["mixing"] if not r.n_tokens)
+
+
+def test_stages_on_empty_tables(spark, documents, tables):
+    docs, folder = documents([]), tables()
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, folder)
+        assert got.count() == 0 and (name == "mixing" or got.columns == corpus_pipeline.COLUMNS)
+    some = documents([(1, "some words of a text that stands alone"), (2, None)])
+    assert corpus_pipeline.near_duplicates(spark, some, folder).count() == corpus_pipeline.decontamination(spark, some, folder).count() == corpus_pipeline.mix(spark, some, folder).count() == 2
+
+
+def test_run_by_hand(spark, sf):
+    """The rows of run() at the smallest size, each stage by a plain way over all documents that the one before kept."""
+    learned = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    model = compression.train(learned, labels, ~held_out(F.col("doc_id")))
+    docs = {r.doc_id: r.text for r in learned.collect() if model.score(r.text) >= 0.7}
+    sets, root = {i: five_word_sets(x) for i, x in docs.items()}, {i: i for i in docs}
+    for a, b in itertools.combinations(sorted(docs), 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= 80 * len(sets[a] | sets[b]) and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = {i: low if r == high else r for i, r in root.items()}
+    docs = {i: x for i, x in docs.items() if root[i] == i}
+    items = [tiling.words_of(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    runs = lambda words: {tuple(words[i : i + tiling.K]) for i in range(len(words) - tiling.K + 1)}
+
+    of_items = [(item, runs(item)) for item in items]
+
+    def clean(words):
+        own = runs(words)
+        return all(not own & seeds or slow_tiles(words, item, tiling.K) < tiling.THRESHOLD * len(item) for item, seeds in of_items)
+
+    docs = {i: x for i, x in docs.items() if clean(tiling.words_of(x))}
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, sf).collect()}
+    assert sorted(got) == sorted(docs) and all(r.rate >= 0 for r in got.values())
+    p = np.array([[r[f"p_{k}"] for k in mixing.TARGETS] for r in got.values()])
+    n, rate, want = np.array([r.n_tokens for r in got.values()]), np.array([r.rate for r in got.values()]), np.array(list(mixing.TARGETS.values()))
+    a = p * (n / n.sum())[:, None]
+    loss = lambda r: 0.5 * ((r @ a - want) ** 2).sum() + 5e-4 / len(n) * ((r - 1) ** 2).sum()
+    best = np.ones(len(n))
+    for _ in range(3000):
+        best = np.maximum(0, best - (a @ (best @ a - want) + 1e-3 / len(n) * (best - 1)) / (np.linalg.norm(a, 2) ** 2 + 1e-3 / len(n)))
+    assert loss(rate) < loss(best) + 1e-5
+
+
+def slow_tiles(doc, item, k):
+    """Greedy tiling by lengths of common runs from every pair of places, longest and leftmost first."""
+    doc_free, item_free, out = [True] * len(doc), [True] * len(item), 0
+    at = {}
+    for j, w in enumerate(item):
+        at.setdefault(w, []).append(j)
+    while True:
+        best, before = (0, 0, 0), {}
+        for i, w in enumerate(doc):
+            now = {}
+            for j in at.get(w, []) if doc_free[i] else []:
+                if item_free[j]:
+                    now[j] = before.get(j - 1, 0) + 1
+                    best = max(best, (now[j], -(i - now[j] + 1), -(j - now[j] + 1)))
+            before = now
+        n, p, q = best[0], -best[1], -best[2]
+        if n < k:
+            return out
+        doc_free[p : p + n], item_free[q : q + n] = [False] * n, [False] * n
+        out += n
+
+
+def test_intermediate_tables_need_a_shared_folder_and_go(spark):
+    kept = stored(spark.range(3), "some")
+    folder = kept._stored_at
+    assert kept.count() == 3 and os.path.isdir(folder)
+    discard(kept)
+    assert not os.path.exists(folder)
+    unset = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda name, default: default))
+    with pytest.raises(ValueError, match=r"spark.checkpoint.dir"):
+        shared_dir(unset)
