@@ -29,59 +29,72 @@ def report_issues(issues: DataFrame, prefix: str = ISSUE_PREFIX) -> DataFrame:
     return issues.filter(F.col("pull_request").isNull() & F.col("title").startswith(prefix) & (F.col("title") != DIGEST_TITLE))
 
 
-def body_lines(issues: DataFrame, key: str = "html_url") -> DataFrame:
-    """A row for each line of a body: what it is, its section (finding) and the mode it stands in."""
-    lines = issues.select(key, F.posexplode(F.split(F.coalesce("body", F.lit("")), LINE_END)).alias("at", "raw")).withColumn("line", strip(F.col("raw"))).drop("raw")
-    line = F.col("line")
-    kind = F.when(F.greatest(*(line.startswith(x) for x in METADATA.values())), "metadata").when(line.startswith("### "), "heading").when(line == "", "blank")
-    for mode, marks in MODES.items():
-        kind = kind.when(line.isin(marks), mode)
-    lines = lines.withColumn("kind", kind.otherwise("text"))
-    order = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("section", F.sum((F.col("kind") == "heading").cast("int")).over(order))
-    switch = F.when(F.col("kind").isin("blank", "heading"), "none").when(F.col("kind").isin(*MODES), F.col("kind"))
-    # A mode holds until a blank line, a heading or another mark; lines that are neither leave it.
-    return lines.withColumn("mode", F.coalesce(F.last(switch, ignorenulls=True).over(order), F.lit("none")))
-
-
-def parse_bodies(issues: DataFrame, key: str = "html_url") -> DataFrame:
-    """Adds report_title, report_url, listed_date, page_publish_date and findings, read from the body."""
-    lines = body_lines(issues, key)
-    line, at = F.col("line"), F.col("at")
-    latest = lambda value, condition: F.max(F.when(condition, F.struct(at.alias("at"), value.alias("text"))))
-    after = lambda mark: strip(F.substring(line, F.lit(len(mark) + 1), F.length(line)))
-
-    bullet = (F.col("kind") == "text") & line.startswith("- ")
-    of_mode = lambda mode: bullet & (F.col("mode") == mode)
-    plain = (F.col("kind") == "text") & ~(bullet & F.col("mode").isin(*MODES))
-    # Sections of a body are where its lines are, so that both groupings need no further shuffle.
-    parts = lines.groupBy(key, "section").agg(
-        F.max(F.when(F.col("kind") == "heading", after("### "))).alias("heading"),
-        F.min(F.when(plain, F.struct(at.alias("at"), line.alias("text"))))["text"].alias("explanation"),
-        latest(after("- "), of_mode("summary"))["text"].alias("uploader_summary"),
-        latest(after("- "), of_mode("instruction"))["text"].alias("correction_instruction"),
-        F.transform(F.array_sort(F.collect_list(F.when(of_mode("evidence"), F.struct(at.alias("at"), after("- ").alias("text"))))), lambda x: x["text"]).alias("evidence"),
-        *(latest(after(mark), (F.col("kind") == "metadata") & line.startswith(mark)).alias(name) for name, mark in METADATA.items()),
-    )
-    heading = F.col("heading")
+def after(line: Column, mark: str) -> Column:
+    return strip(F.substring(line, F.lit(len(mark) + 1), F.length(line)))
+
+
+def is_metadata(line: Column) -> Column:
+    found = F.lit(False)
+    for mark in METADATA.values():
+        found = found | line.startswith(mark)
+    return found
+
+
+def read_section(section: Column) -> Column:
+    """Explanation, summary, instruction and evidence out of a section's lines, read one after the other.
+
+    A mark sets the mode that bullets are read in, until a blank line or another mark; lines of metadata are skipped.
+    """
+    text = F.lit(None).cast("string")
+    zero = F.struct(F.lit("none").alias("mode"), text.alias("explanation"), text.alias("summary"), text.alias("instruction"), F.array().cast("array<string>").alias("evidence"))
+    marks = F.create_map(F.lit(""), F.lit("none"), *(F.lit(x) for mode, own in MODES.items() for mark in own for x in (mark, mode)))
+
+    def read(state: Column, line: Column) -> Column:
+        mode, bullet = state["mode"], line.startswith("- ")
+        in_mode = lambda name: F.when(bullet & (mode == name), after(line, "- "))
+        plain = F.when(~(bullet & (mode != "none")), line)
+        read_line = F.struct(
+            mode.alias("mode"),
+            F.coalesce(state["explanation"], plain).alias("explanation"),
+            F.coalesce(in_mode("summary"), state["summary"]).alias("summary"),
+            F.coalesce(in_mode("instruction"), state["instruction"]).alias("instruction"),
+            F.when(bullet & (mode == "evidence"), F.concat(state["evidence"], F.array(after(line, "- ")))).otherwise(state["evidence"]).alias("evidence"),
+        )
+        return F.when(is_metadata(line), state).when(marks[line].isNotNull(), state.withField("mode", marks[line])).otherwise(read_line)
+
+    return F.aggregate(section, zero, read)
+
+
+def read_finding(heading: Column, parts: Column) -> Column:
     known = heading.rlike(HEADING)
     named = lambda n, other: F.when(known, F.regexp_extract(heading, HEADING, n)).otherwise(other)
-    empty = lambda name: F.coalesce(name, F.lit("")).alias(name)
-    finding = F.struct(
+    given = lambda name: F.coalesce(parts[name], F.lit(""))
+    return F.struct(
         named(2, F.lit("unknown")).alias("category"),
         strip(named(1, heading)).alias("title"),
-        empty("explanation"),
-        empty("uploader_summary"),
-        empty("correction_instruction"),
+        given("explanation").alias("explanation"),
+        given("summary").alias("uploader_summary"),
+        given("instruction").alias("correction_instruction"),
         F.coalesce(F.when(known, F.regexp_extract(heading, HEADING, 4).try_cast("double")), F.lit(0.0)).alias("confidence"),
         named(3, F.lit("unknown")).alias("source"),
-        F.col("evidence"),
+        parts["evidence"].alias("evidence"),
     )
-    sections = F.collect_list(F.when(F.col("section") > 0, F.struct("section", finding.alias("finding"))))
-    whole = parts.groupBy(key).agg(F.transform(F.array_sort(sections), lambda x: x["finding"]).alias("findings"), *(F.max(name)["text"].alias(name) for name in METADATA))
-    out = issues.join(whole, key, "left")
-    out = out.withColumns({name: F.coalesce(name, F.lit(other)) for name, other in MISSING.items()})
-    return out.withColumn("findings", F.coalesce("findings", F.array().cast(FINDINGS)))
+
+
+def parse_bodies(issues: DataFrame) -> DataFrame:
+    """Adds report_title, report_url, listed_date, page_publish_date and findings, read from the body, row by row."""
+    lines = F.transform(F.split(F.coalesce("body", F.lit("")), LINE_END), strip)
+    rows = issues.withColumn("_lines", lines)
+    is_heading = lambda x: x.startswith("### ")
+    places = F.filter(F.transform("_lines", lambda x, i: F.when(is_heading(x), i + 1)), lambda x: x.isNotNull())
+    rows = rows.withColumn("_heads", places)
+    # A section reaches to the next heading, the last one to the end.
+    end = lambda k: F.coalesce(F.get("_heads", k + 1), F.size("_lines") + 1)
+    section = lambda at, k: F.struct(after(F.get("_lines", at - 1), "### ").alias("heading"), read_section(F.slice("_lines", at + 1, end(k) - at - 1)).alias("parts"))
+    rows = rows.withColumn("_sections", F.transform("_heads", section))
+    last = lambda mark: F.get(F.reverse(F.filter("_lines", lambda x: x.startswith(mark))), F.lit(0))
+    metadata = {name: F.coalesce(after(last(mark), mark), F.lit(MISSING[name])) for name, mark in METADATA.items()}
+    return rows.withColumns(metadata | {"findings": F.transform("_sections", lambda x: read_finding(x["heading"], x["parts"])).cast(FINDINGS)}).drop("_lines", "_heads", "_sections")
 
 
 # Words of old findings, in order, and the texts that stand in for what they lack.
@@ -153,8 +166,9 @@ def digest_groups(issues: DataFrame) -> DataFrame:
 
 def digest_counts(issues: DataFrame) -> DataFrame:
     """issues (all, with or without findings), groups and findings."""
-    members = digest_members(issues).agg(F.countDistinct("key").alias("groups"), F.count("*").alias("findings"))
-    return issues.agg(F.count("*").alias("issues")).join(F.broadcast(members))
+    # From the groups, which are few and whose shuffles are there already where they are made too.
+    groups = digest_groups(issues).agg(F.count("*").alias("groups"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("findings"))
+    return issues.agg(F.count("*").alias("issues")).join(F.broadcast(groups))
 
 
 def day_counts(issues: DataFrame) -> DataFrame:

@@ -34,24 +34,28 @@ def two_of_each(index: DataFrame, key: str, order: Column, name: str) -> DataFra
     return ranked.groupBy(F.col(key).alias(f"_{name}")).agg(entries.alias(name))
 
 
-def duplicates(reports: DataFrame, index: DataFrame) -> DataFrame:
+def duplicates(reports: DataFrame, index: DataFrame, unique_urls: bool = False) -> DataFrame:
     """Adds match (kind exact or plural, url, title) to reports that have url, normalized_title and singular_title; null if there is none.
 
     Exact: the first entry of the same normalized title and another url.
     Plural, if there is no exact one: the last entry of the same singular title and another url.
     Each key of the index is reduced to two entries first, so no report meets more than one row.
+    unique_urls says that no url is twice in the index, as title_index leaves it.
     """
-    known = first_per(index.filter("url <> ''"), "url")
+    known = index.filter("url <> ''")
+    known = known if unique_urls else first_per(known, "url")
     exact = two_of_each(known, "normalized_title", F.asc("pos"), "exact")
     plural = two_of_each(known, "singular_title", F.desc("pos"), "plural")
-    joined = reports.join(exact, (F.col("normalized_title") == F.col("_exact")) & (F.col("normalized_title") != ""), "left")
-    joined = joined.join(plural, (F.col("singular_title") == F.col("_plural")) & (F.col("normalized_title") != ""), "left")
+    # Blank titles match nothing: as nulls they are not sent to one task.
+    titled = lambda c: F.when(F.col("normalized_title") != "", F.col(c))
+    joined = reports.withColumns({"_by_exact": titled("normalized_title"), "_by_plural": titled("singular_title")})
+    joined = joined.join(exact, F.col("_by_exact") == F.col("_exact"), "left").join(plural, F.col("_by_plural") == F.col("_plural"), "left")
 
     def other(entries: str, kind: str) -> Column:
         found = F.get(F.filter(entries, lambda x: x["url"] != F.col("url")), F.lit(0))
         return F.when(found.isNotNull(), F.struct(F.lit(kind).alias("kind"), found["url"].alias("url"), found["title"].alias("title")))
 
-    return joined.withColumn("match", F.coalesce(other("exact", "exact"), other("plural", "plural"))).drop("exact", "plural", "_exact", "_plural")
+    return joined.withColumn("match", F.coalesce(other("exact", "exact"), other("plural", "plural"))).drop("exact", "plural", "_exact", "_plural", "_by_exact", "_by_plural")
 
 
 def current_title() -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.arrow import ascii_fold
 from ..operators import digest, pages, render, review, rules, state, titles
 from ..schema import FINDINGS, REPORT_PAGE, REVIEW_ITEM
 
@@ -108,9 +109,10 @@ def q01_market_math(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q02_forecast_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """End years from four places, and the finding's evidence where they differ."""
-    df = market_pages(spark, sf_dir)
-    found = rules.disagreeing_years()
-    year = lambda k: F.get(rules.forecast_years(), F.lit(k))["year"]
+    df = market_pages(spark, sf_dir).select("url", rules.forecast_years().alias("years"))
+    df = df.withColumn("found", rules.disagreeing_years(F.col("years")))
+    found = F.col("found")
+    year = lambda k: F.get("years", F.lit(k))["year"]
     evidence = F.when(F.size(found) > 0, F.array_join(F.get(found, F.lit(0))["evidence"], " | ")).otherwise("")
     return df.select("url", year(0).alias("y_title"), year(1).alias("y_h1"), year(2).alias("y_meta"), year(3).alias("y_card"), (F.size(found) > 0).alias("disagree"), evidence.alias("evidence"))
 
@@ -129,16 +131,19 @@ def singular_sql(value: str) -> str:
     return f"array_to_string(list_transform(string_split({value}, ' '), lambda x: {token}), ' ')"
 
 
+FOLD_SQL = "regexp_replace(strip_accents({}), '[^\\x00-\\x7F]', '', 'g')"
+
+
 @query(
     f"""WITH titles AS (SELECT 'p' || p_partkey AS id, 'Global ' || p_name || ' Market (2026 - 2036) ' || p_brand AS title FROM part
-  UNION ALL SELECT 'd' || doc_id, string_split(text, chr(10))[1] FROM documents WHERE regexp_full_match(string_split(text, chr(10))[1], '[\\x00-\\x7F]*'))
-SELECT id, {normal_sql("title")} AS normalized FROM titles"""
+  UNION ALL SELECT 'd' || doc_id, string_split(text, chr(10))[1] FROM documents)
+SELECT id, {normal_sql(FOLD_SQL.format("title"))} AS normalized FROM titles"""
 )
 def q03_title_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles of parts, and the first lines of documents that are ASCII, without stop tokens and years."""
+    """Titles of parts and first lines of documents, folded to ASCII, without stop tokens and years."""
     parts = table(spark, sf_dir, "part").select(cat("p", F.col("p_partkey")).alias("id"), cat("Global ", F.col("p_name"), " Market (2026 - 2036) ", F.col("p_brand")).alias("title"))
-    docs = table(spark, sf_dir, "documents").select(cat("d", F.col("doc_id")).alias("id"), F.split("text", "\n")[0].alias("title")).filter(~F.col("title").rlike(r"[^\x00-\x7F]"))
-    return parts.union(docs).select("id", t.normalized_title(F.col("title")).alias("normalized"))
+    docs = table(spark, sf_dir, "documents").select(cat("d", F.col("doc_id")).alias("id"), F.split("text", "\n")[0].alias("title"))
+    return parts.union(docs).select("id", t.normalized_title(F.col("title"), ascii_fold).alias("normalized"))
 
 
 PLURALS = ["ies", "sses", "shes", "ches", "xes", "zes", "oes", "ss", "us", "is", "s"]
@@ -539,7 +544,7 @@ def q24_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All three rules on every page, the title index being the pages' own titles; counts of a run."""
     made = market_pages(spark, sf_dir)
     index = titles.with_title_keys(made.select("url", F.col("card_title").alias("title"), F.col("url").alias("pos")), F.col("title"), fold=False)
-    audited = rules.rule_findings(made, index, fold=False)
+    audited = rules.rule_findings(made, index, fold=False, unique_urls=True)
     of = lambda title: F.sum(F.size(F.filter("findings", lambda x: F.contains(x["title"], F.lit(title))))).alias
     return audited.agg(F.count("*").alias("audited"), F.count_if(F.size("findings") > 0).alias("with_issues"), of("Forecast years")("years"), of("CAGR")("growth"), of("duplicates")("titles"))
 
