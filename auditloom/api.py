@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators.digest import changed, of_day, parse_bodies, report_issues, upgrade, upsert_actions
+from .operators.digest import changed, missing_issues, of_day, parse_bodies, report_issues, upgrade, upsert_actions
 from .operators.pages import report_pages
 from .operators.render import daily_summary, digest_body, rewritten
 from .operators.review import with_reviews
@@ -25,6 +25,16 @@ def backfill(issues: DataFrame) -> DataFrame:
     return changed(rewritten(upgrade(parse_bodies(held))))
 
 
+def backfill_actions(issues: DataFrame) -> DataFrame:
+    """The backfill as updates for a tracker: title, body, number and action."""
+    return backfill(issues).select("title", F.col("rendered").alias("body"), "number", F.lit("update").alias("action"))
+
+
+def creations(new: DataFrame, issues: DataFrame) -> DataFrame:
+    """New issues (title, body) that no open one has, as creations for a tracker."""
+    return missing_issues(new, issues).select("title", "body", F.lit(None).cast("long").alias("number"), F.lit("create").alias("action"))
+
+
 def digest(issues: DataFrame) -> DataFrame:
     """One row with the digest of the open report issues, as the backfill leaves them."""
     return digest_body(upgrade(parse_bodies(report_issues(issues.filter("state = 'open'")))))

@@ -7,7 +7,9 @@ Text that holds no value gives null.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Iterable
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -159,3 +161,8 @@ def iso_timestamp(c: Column) -> Column:
 
 def local_day_start(day: Column, zone: str) -> Column:
     return F.to_utc_timestamp(day.cast("timestamp_ntz").cast("timestamp"), zone)
+
+
+def local_today(zone: str, now: dt.datetime | None = None) -> dt.date:
+    """The calendar day that it is in a time zone."""
+    return (now or dt.datetime.now(dt.UTC)).astimezone(ZoneInfo(zone)).date()

@@ -6,6 +6,7 @@ import datetime as dt
 import json
 import os
 import smtplib
+import urllib.request
 from collections.abc import Callable
 from email.message import EmailMessage
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..operators.render import run_entries, run_sections
 from ..operators.state import evicted
+from .http import AGENT
 
 
 def save_seen(spark: SparkSession, seen: DataFrame, path: str, keep: int = 5000) -> None:
@@ -53,6 +55,22 @@ def apply_actions(actions: DataFrame, send: Send) -> dict[str, int]:
     return done
 
 
+def tracker_sender(config: Config) -> Send:
+    """Sends to a tracker's HTTP interface: POST for a new issue, PATCH for a changed one; an answer that is no success raises."""
+    token, repository = config.tracker()
+    base = f"{config.tracker_url}/repos/{repository}/issues"
+
+    def send(action: str, issue: dict) -> None:
+        create = action == "create"
+        body = {"title": issue["title"], "body": issue["body"]} if create else {"body": issue["body"]}
+        headers = {"User-Agent": AGENT, "Accept": "application/json", "Content-Type": "application/json", "Authorization": f"Bearer {token}"}
+        request = urllib.request.Request(base if create else f"{base}/{issue['number']}", json.dumps(body).encode(), headers, method="POST" if create else "PATCH")
+        with urllib.request.urlopen(request, timeout=config.request_timeout):
+            pass
+
+    return send
+
+
 def summary_subject(day: dt.date, zone: str, n: int) -> str:
     return f"Report audit daily summary for {day.isoformat()} ({zone}, {n} report issue{'' if n == 1 else 's'})"
 
