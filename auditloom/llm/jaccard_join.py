@@ -256,9 +256,12 @@ def links(found: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = found.select("cls", "n", "own", "parts", F.posexplode(F.slice("tokens", F.lit(1), F.col("reach"))).alias("k", "token")).withColumn("at", F.col("k") + F.col("own")).drop("k")
     # Of classes that share a shingle, the pivot is the one with the fewest rarer ones.
     heads = members.groupBy("token").agg(F.count("*").alias("m"), F.min_by(F.struct("cls", "n", "own", "parts", "at"), F.struct("at", "cls")).alias("pivot")).filter("m > 1")
+    # As a table of its own, so that Spark can split the rows of a shingle in the join.
+    every = heads = stored(heads, "jaccard-pivots")
     members = stored(members.join(heads.select("token", "m", F.col("pivot.cls").alias("pivot")), "token"), "jaccard-members")
     times = F.pow(F.lit(2), F.ceil(F.log2(F.col("m") / PARTNERS + 1))).cast("int")
     heads = stored(heads.filter(F.col("m") > FEW).select("token", times.alias("times"), "pivot.*"), "jaccard-heads")
+    discard(every)
 
     few, many = members.filter(F.col("m") <= FEW), members.filter(F.col("m") > FEW)
     near = few.alias("x").join(few.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") < F.col("y.cls"))).filter(can_link("x", "y", percent)).select(*ordered("x", "y"))
