@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import api
 from ..functions import text as t
-from ..functions.arrow import ascii_fold
+from ..functions.arrow import ascii_fold, cards
 from ..operators import digest, pages, render, review, rules, state, titles
 from ..schema import FINDINGS, REPORT_PAGE, REVIEW_ITEM
 
@@ -561,3 +562,140 @@ def q25_title_index_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.when(kind == 0, cat(at, "Z")).when(kind == 1, cat(at, "+05:30")).when(kind == 2, "").otherwise("no time")
     age = F.lit(dt.datetime(2024, 1, 15, 12, tzinfo=dt.UTC)) - t.iso_timestamp(F.col("raw"))
     return events.select("event_id", raw.alias("raw")).select("event_id", "raw", F.coalesce(age <= F.expr("INTERVAL '24' HOUR"), F.lit(False)).alias("fresh"))
+
+
+# --- texts for people, and markup, made of suppliers, parts and customers
+
+
+def supplier_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed issues: one for each supplier, with one finding; suppliers of a nation share its instruction."""
+    k = F.col("s_suppkey")
+    parts = {"category": F.lit("numeric_inconsistency"), "title": F.lit("Numbers"), "explanation": F.lit("why"), "uploader_summary": F.when(k % 2 == 0, cat("summary ", k)).otherwise(""), "correction_instruction": F.when(k % 7 == 0, "").otherwise(cat("Please fix nation ", F.col("s_nationkey"))), "confidence": F.lit(0.95), "source": F.lit("rule"), "evidence": F.when(k % 3 == 0, F.array(cat("e", k), F.lit("more"))).otherwise(F.array())}
+    return table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey").select(
+        k.alias("number"),
+        cat(digest.ISSUE_PREFIX, " supplier ", k).alias("title"),
+        cat("https://t.example/", k).alias("html_url"),
+        cat("2024-01-", k % 3 + 10, "T", F.lpad(text(k % 24), 2, "0"), ":15:00Z").alias("created_at"),
+        cat("Report ", k % 10).alias("report_title"),
+        cat("https://x.example/", k).alias("report_url"),
+        F.lit("unknown").alias("listed_date"),
+        F.lit("unknown").alias("page_publish_date"),
+        F.array(F.struct(*(v.alias(n) for n, v in parts.items()))).cast(FINDINGS).alias("findings"),
+    )
+
+
+SUPPLIERS_SQL = """WITH s AS (SELECT s_suppkey AS k, 'Report ' || (s_suppkey % 10) AS report_title, 'https://x.example/' || s_suppkey AS report_url, 'https://t.example/' || s_suppkey AS html_url,
+  TIMESTAMP '2024-01-10 00:15:00' + to_days(CAST(s_suppkey % 3 AS INT)) + to_hours(s_suppkey % 24) AS created_at, CASE WHEN s_suppkey % 2 = 0 THEN 'summary ' || s_suppkey ELSE 'why' END AS plain, CASE WHEN s_suppkey % 7 <> 0 THEN 'Please fix nation ' || s_nationkey END AS instruction FROM supplier),
+"""
+
+
+@query(
+    SUPPLIERS_SQL
+    + r"""m AS (SELECT *, coalesce(instruction, 'Numbers') AS key, concat_ws(chr(10), '### ' || report_title, '- Report URL: ' || report_url, '- Issue: ' || html_url, '- Finding: Numbers', '- Category: numeric_inconsistency | Source: rule | Confidence: 0.95',
+  '- Dumbed-down version: ' || plain, '- Why this is an error: why', CASE WHEN k % 3 = 0 THEN '- Exact sentence(s):' || chr(10) || '  - e' || k || chr(10) || '  - more' ELSE '- Exact sentence(s): not captured' END, '') AS member FROM s),
+g AS (SELECT key, count(*) AS size, row_number() OVER (ORDER BY key) AS number, string_agg(member, chr(10) ORDER BY lower(report_title), report_url, html_url) AS members FROM m GROUP BY key),
+t AS (SELECT string_agg('## Correction Group ' || number || chr(10) || 'Copy-paste fix for upload team: ' || key || chr(10) || 'Affected findings: ' || size || chr(10) || chr(10) || members, chr(10) ORDER BY number) AS sections, count(*) AS groups, sum(size)::BIGINT AS findings FROM g)
+SELECT concat_ws(chr(10), '# Open correction digest', '', 'This issue is updated automatically from the currently open report issues.', 'Use it as the single queue for content corrections.', '', '- Open report issues: ' || (SELECT count(*) FROM s), '- Unique correction groups: ' || groups, '- Unique findings: ' || findings, '', rtrim(sections, chr(10)), '') AS body FROM t"""
+)
+def q26_digest_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of the digest of all open issues."""
+    return render.digest_body(supplier_issues(spark, sf_dir))
+
+
+@query(
+    SUPPLIERS_SQL
+    + r"""d AS (SELECT *, concat_ws(chr(10), '## ' || report_title, '- Report URL: ' || report_url, '- Issue: ' || html_url, '- Listed date: unknown', '- Page publish date: unknown', '', '### Numbers', 'Category: numeric_inconsistency | Source: rule | Confidence: 0.95',
+  'Dumbed-down version: ' || plain, 'Why this is an error: why', 'Copy-paste fix for upload team: ' || coalesce(instruction, 'Please review this finding and correct the page content to match the verified source facts.'),
+  'Exact sentence(s):', CASE WHEN k % 3 = 0 THEN '- e' || k || chr(10) || '- more' ELSE '- No evidence snippet was captured in the issue body.' END, '') AS section FROM s WHERE created_at >= TIMESTAMP '2024-01-10 18:30:00' AND created_at < TIMESTAMP '2024-01-11 18:30:00')
+SELECT concat_ws(chr(10), '# Report audit daily summary for January 11, 2024', '', '- Time zone: Asia/Calcutta', '- Repository: example/reports', '- Reports with issues: ' || count(*), '- Total findings: ' || count(*), '', CASE WHEN count(*) = 0 THEN 'No glaring issues were opened for this day.' ELSE rtrim(string_agg(section, chr(10) ORDER BY created_at DESC, html_url DESC), chr(10)) END, '') AS body FROM d"""
+)
+def q27_daily_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of a day's summary, newest issue first."""
+    day, zone = F.lit(dt.date(2024, 1, 11)), "Asia/Calcutta"
+    return render.daily_summary(digest.of_day(supplier_issues(spark, sf_dir), day, zone), day, zone, "example/reports")
+
+
+def audited_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audited pages: one for each part, three in four with one or two findings, some without a card's title."""
+    k, name = F.col("p_partkey"), F.col("p_name")
+    one = lambda title, confidence, evidence: rules.finding("numeric_inconsistency", title, "why", "", "Please fix", confidence, evidence)
+    first, second = one("Numbers", 0.98, F.array(name)), one("Years", 0.5, F.array().cast("array<string>"))
+    found = F.when(k % 4 == 0, F.array().cast(FINDINGS)).when(k % 4 == 1, F.array(first).cast(FINDINGS)).otherwise(F.array(first, second).cast(FINDINGS))
+    return table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand").select(cat("https://x.example/", k).alias("url"), F.when(k % 3 == 0, "").otherwise(name).alias("card_title"), F.col("p_brand").alias("h1"), F.lit("").alias("page_title"), F.lit("").alias("card_published_on"), F.lit("2026-05-01").alias("publish_date"), found.alias("findings"))
+
+
+PARTS_SQL = "WITH p AS (SELECT p_partkey AS k, p_name, 'https://x.example/' || p_partkey AS url, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE p_name END AS title FROM part WHERE p_partkey % 4 <> 0) "
+
+
+@query(PARTS_SQL + "SELECT url, concat_ws(chr(10), '## ' || title, url, '', '- Numbers [numeric_inconsistency, rule, 0.98]', CASE WHEN k % 4 > 1 THEN '- Years [numeric_inconsistency, rule, 0.50]' END, '') AS section FROM p")
+def q28_run_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The section of a run's markdown for every page with findings."""
+    return render.run_sections(audited_parts(spark, sf_dir)).select("url", "section")
+
+
+@query(
+    PARTS_SQL
+    + """SELECT url, to_json({'url': url, 'title': title, 'findings': list_filter([{'category': 'numeric_inconsistency', 'title': 'Numbers', 'explanation': 'why', 'uploader_summary': '', 'correction_instruction': 'Please fix', 'confidence': 0.98::DOUBLE, 'source': 'rule', 'evidence': [p_name]},
+  {'category': 'numeric_inconsistency', 'title': 'Years', 'explanation': 'why', 'uploader_summary': '', 'correction_instruction': 'Please fix', 'confidence': 0.5::DOUBLE, 'source': 'rule', 'evidence': []}], lambda x: x.title = 'Numbers' OR k % 4 > 1)})::VARCHAR AS entry FROM p"""
+)
+def q28b_run_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entry of a run's JSON for every page with findings."""
+    return render.run_entries(audited_parts(spark, sf_dir)).select("url", F.to_json(F.struct("*")).alias("entry"))
+
+
+@query(PARTS_SQL + "SELECT '[Report audit] Glaring errors detected: ' || title AS title, 'https://x.example/' || k AS url, concat_ws(chr(10), '# Report audit alert', '', '- Report: ' || title, '- URL: ' || url, '- Listed date: unknown', '- Page publish date: 2026-05-01', '', '## Findings', '', '### Numbers (numeric_inconsistency, rule, confidence 0.98)', 'why', '', 'Copy-paste fix for upload team:', '- Please fix', '', 'Evidence:', '- ' || p_name, CASE WHEN k % 4 > 1 THEN concat_ws(chr(10), '', '### Years (numeric_inconsistency, rule, confidence 0.50)', 'why', '', 'Copy-paste fix for upload team:', '- Please fix') END, '') AS body FROM p")
+def q28c_new_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title and body of the issue for every page with findings."""
+    return render.new_issues(audited_parts(spark, sf_dir))
+
+
+def customer_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues as a tracker holds them, one for each customer: half are as they would be written today; some are closed, pull requests or about something else."""
+    k = F.col("c_custkey")
+    body = F.concat_ws(
+        "\n",
+        F.lit("# Report audit alert\n"),
+        cat("- Report: Report ", k),
+        cat("- URL: https://x.example/", k),
+        F.lit("- Listed date: unknown\n- Page publish date: unknown\n\n## Findings\n\n### Numbers (numeric_inconsistency, rule, confidence 0.95)\nwhy\n"),
+        F.when(k % 7 != 0, cat(F.when(k % 2 == 0, "Dumbed-down version for upload team:").otherwise("Uploader summary:"), "\n- summary ", k, "\n")),
+        cat("Copy-paste fix for upload team:\n- Please fix ", k, "\n"),
+        cat("Evidence:\n- e", k, "\n"),
+    )
+    title = cat(F.when(k % 13 == 0, "About").otherwise(digest.ISSUE_PREFIX), " report ", k)
+    return table(spark, sf_dir, "customer", "c_custkey").select(k.alias("number"), title.alias("title"), cat("https://t.example/", k).alias("html_url"), F.lit("").alias("created_at"), body.alias("body"), F.when(k % 5 == 0, "closed").otherwise("open").alias("state"), F.when(k % 11 == 0, "{}").alias("pull_request"))
+
+
+@query(
+    """SELECT c_custkey AS number, 'update' AS action, '[Report audit] Glaring errors detected: report ' || c_custkey AS title, concat_ws(chr(10), '# Report audit alert', '', '- Report: Report ' || c_custkey, '- URL: https://x.example/' || c_custkey, '- Listed date: unknown', '- Page publish date: unknown', '', '## Findings', '', '### Numbers (numeric_inconsistency, rule, confidence 0.95)', 'why', '', 'Dumbed-down version for upload team:',
+  '- ' || CASE WHEN c_custkey % 7 = 0 THEN 'The market numbers on this page do not match and need correction before upload.' ELSE 'summary ' || c_custkey END, '', 'Copy-paste fix for upload team:', '- Please fix ' || c_custkey, '', 'Evidence:', '- e' || c_custkey, '') AS body
+FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 11 <> 0 AND c_custkey % 13 <> 0 AND (c_custkey % 2 <> 0 OR c_custkey % 7 = 0)"""
+)
+def q29_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updates of the open report issues whose body would be written otherwise today."""
+    return api.backfill_actions(customer_issues(spark, sf_dir))
+
+
+@query(
+    """SELECT 'r/' || p_partkey AS url, p_name || ' & Co' AS page_title, p_name || ' Market' AS h1, 'About ' || p_name || ' <2>' AS lead_summary, 'All "' || p_name || '" & more' AS meta_description, 'd' || p_partkey AS publish_date,
+  'The market of ' || p_name || ' is read by many people in all of the regions' AS summary, 'The Key Players of ' || p_brand || ' went on acquiring others in the year' AS competitive, 'Q' || p_partkey || '=A & B' AS faq FROM part"""
+)
+def q30_exact_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of pages read from their trees: headings, description, paragraphs, questions, date."""
+    k, name = F.col("p_partkey"), F.col("p_name")
+    html = cat(
+        "<html><head><title> ", name, " &amp;\n Co </title><meta content='All &quot;", name, "&quot; &amp; more' name=\"description\"></head><body><h1>", name, " <b>Market</b></h1><h1>other</h1><h2>About ", name, " &lt;&#50;&gt;</h2>",
+        "<p>The market of <i>", name, "</i> is read by many people\n in all of the regions</p><p>A short market</p><p>The Key Players of ", F.col("p_brand"), " went on acquiring others in the year</p>",
+        '<script type="application/ld+json">{"@graph": [{"@type": "FAQPage", "datePublished": "d', k, '", "mainEntity": [{"name": "Q', k, '", "acceptedAnswer": {"text": "A &amp; B"}}]}]}</script></body></html>',
+    )
+    read = pages.report_pages(table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand").select(cat("r/", k).alias("url"), html.alias("html")))
+    return read.select("url", "page_title", "h1", "lead_summary", "meta_description", "publish_date", F.array_join("summary_paragraphs", "|").alias("summary"), F.array_join("competitive_paragraphs", "|").alias("competitive"), F.array_join(F.transform("faq_items", lambda x: F.concat_ws("=", x["question"], x["answer"])), "|").alias("faq"))
+
+
+@query("SELECT s_suppkey, '/r/' || s_suppkey AS url, s_name || ' & Co' AS title, 'Nation ' || s_nationkey || ' <x>' AS summary, CASE WHEN s_suppkey % 2 = 0 THEN 'May 0' || (s_suppkey % 9 + 1) || ', 2026' ELSE '' END AS published_on FROM supplier")
+def q31_feed_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards out of feed markup; those without a linked heading are left out."""
+    k = F.col("s_suppkey")
+    date = F.when(k % 2 == 0, cat('<div class="date_box"> May 0', k % 9 + 1, ",  2026</div>")).otherwise("")
+    markup = cat('<div class="x rep_div"><h3><a href="/r/', k, '"> ', F.col("s_name"), ' &amp;\n Co</a></h3><div class="info_content"><p>Nation ', F.col("s_nationkey"), " &lt;x&gt;</p><p>more</p></div>", date, '</div><div class="rep_div"><h3>no link</h3></div>')
+    return table(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey").select("s_suppkey", F.explode(cards(markup)).alias("card")).select("s_suppkey", "card.url", "card.title", "card.summary", "card.published_on")
