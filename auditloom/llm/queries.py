@@ -51,7 +51,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return host_rules.judge(table(spark, sf_dir, "documents"))
+    return host_rules.judge(table(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 9))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,4 +104,44 @@ FROM reach r LEFT JOIN sizes z ON z.doc_id = r.doc_id
 GROUP BY r.doc_id
 """
 
-ORACLES: dict[str, str] = {"op6_ngram_jaccard_join": OP6_SQL}
+#: Every window of every text is a row, so this too is for small tables.
+OP9_SQL = r"""
+WITH words AS (
+    SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+    FROM documents
+), runs AS (
+    SELECT r, w, unnest(range(1, len(w) - 6)) AS place FROM words
+), twice AS (
+    SELECT r, place FROM (SELECT r, place, array_to_string(w[place:place + 7], ' ') AS run FROM runs) QUALIFY count(*) OVER (PARTITION BY r, run) > 1
+), gaps AS (
+    SELECT r, least(8, coalesce(lead(place) OVER (PARTITION BY r ORDER BY place) - place, 8)) AS own FROM twice
+), repeats AS (
+    SELECT r, sum(own)::BIGINT AS n FROM gaps GROUP BY r
+), measured AS (
+    SELECT doc_id, host, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+        len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+    FROM words LEFT JOIN repeats USING (r)
+), failed AS (
+    SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+        (n_symbols > 0.3::DOUBLE * n_words)::INT + (n_dup_lines > greatest(2, 0.05::DOUBLE * n_words))::INT
+            + (n_words > 0 AND NOT word_chars::DOUBLE / greatest(n_words, 1) BETWEEN 2 AND 15)::INT AS soft_failures
+    FROM measured
+), hosts AS (
+    SELECT host, count(*)::DOUBLE AS n, count(*) FILTER (base_failed OR soft_failures > 0)::DOUBLE AS f FROM failed GROUP BY host
+), overall AS (
+    SELECT sum(f) / sum(n) AS m, var_pop(f / n) AS spread, avg(1 / n) AS draw FROM hosts
+), prior AS (
+    SELECT m, least(greatest(m * (1 - m) / greatest(spread - m * (1 - m) * draw, 1e-9) - 1, 1), 1000) AS strength FROM overall
+), rates AS (
+    SELECT host, m, (f + m * strength) / (n + strength) AS rate FROM hosts, prior
+), verdicts AS (
+    SELECT host, rate, CASE WHEN rate > 0.5 THEN 'blocked' WHEN rate > 2 * m THEN 'suspect' ELSE 'good' END AS verdict FROM rates
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND verdict <> 'blocked' AND soft_failures < CASE WHEN verdict = 'suspect' THEN 1 ELSE 2 END AS kept,
+    d.host, round(rate, 9) AS host_rate, verdict AS host_verdict, soft_failures
+FROM failed d JOIN verdicts v ON d.host IS NOT DISTINCT FROM v.host
+"""
+
+ORACLES: dict[str, str] = {"op6_ngram_jaccard_join": OP6_SQL, "op9_quality_rules": OP9_SQL}
