@@ -36,7 +36,7 @@ def test_stages_take_effect(spark, sf):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(x[2:].split("_")[0]) for x in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(x[2:].split("_")[0]) for x in queries.QUERIES) == list(range(1, 14))
 
 
 def five_word_sets(text):
