@@ -6,8 +6,7 @@ import datetime as dt
 import json
 import os
 import smtplib
-import urllib.request
-from collections.abc import Callable
+import uuid
 from email.message import EmailMessage
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,14 +15,25 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..operators.render import run_entries, run_sections
 from ..operators.state import evicted
-from .http import AGENT
+from ..schema import SEEN
+from .http import register
+from .versions import Versions
 
 
 def save_seen(spark: SparkSession, seen: DataFrame, path: str, keep: int = 5000) -> None:
-    """Writes a new version of the seen set, then the pointer to it: what is read is never overwritten."""
-    version = int(dt.datetime.now(dt.UTC).timestamp() * 1000)
-    evicted(seen, keep).write.parquet(f"{path}/urls-{version}")
-    spark.createDataFrame([(version, True)], "version long, bootstrapped boolean").coalesce(1).write.mode("append").json(f"{path}/pointer")
+    """Adds to the seen set, as the version after the last one, which may be another poll's. If one more comes first, its urls are taken in, and the version after is tried."""
+    versions = Versions(spark, path)
+    seen = spark.createDataFrame(evicted(seen, keep).collect(), SEEN)  # keep urls at most
+    while True:
+        base, whole = versions.last(), seen
+        if base:
+            whole = whole.union(spark.read.schema(SEEN).parquet(f"{path}/{versions.read(base)['table']}"))
+        table = f"urls-{uuid.uuid4().hex}"
+        evicted(whole, keep).write.parquet(f"{path}/{table}")
+        if versions.claim(base + 1, {"table": table, "bootstrapped": True}):
+            versions.tidy()
+            return
+        versions.drop(table)
 
 
 def write_text(path: str, text: str) -> None:
@@ -32,43 +42,44 @@ def write_text(path: str, text: str) -> None:
         f.write(text)
 
 
-def write_run(audited: DataFrame, folder: str) -> int:
-    """The run's JSON and markdown on the driver; a run audits few pages. Gives the number of pages with findings."""
-    entries = [json.loads(r[0]) for r in run_entries(audited).select(F.to_json(F.struct("*"))).collect()]
-    sections = [r["section"] for r in run_sections(audited).collect()]
+def write_run(audited: DataFrame, folder: str, order: list[str] | None = None) -> int:
+    """The run's JSON and markdown on the driver; a run audits few pages. Gives the number of pages with findings.
+
+    ``order`` has the urls in the order in which they were admitted.
+    """
+    place = {url: k for k, url in enumerate(order or [])}
+    rank = lambda url: (place.get(url, len(place)), url)
+    entries = sorted((json.loads(r[0]) for r in run_entries(audited).select(F.to_json(F.struct("*"))).collect()), key=lambda x: rank(x["url"]))
+    sections = [r["section"] for r in sorted(run_sections(audited).collect(), key=lambda r: rank(r["url"]))]
     write_text(f"{folder}/latest_run.json", json.dumps(entries, indent=2) + "\n")
     rest = "\n".join(sections) or "No glaring report issues were detected."
     write_text(f"{folder}/latest_run.md", f"# Report audit run summary\n\n{rest}".strip() + "\n")
     return len(entries)
 
 
-Send = Callable[[str, dict], None]
-
+ACTIONS = ("create", "update", "noop")
 
-def apply_actions(actions: DataFrame, send: Send) -> dict[str, int]:
-    """Sends creations and updates of issues (title, body, number, action) to a tracker, one by one, from the driver."""
-    done = {"create": 0, "update": 0, "noop": 0}
-    for row in actions.toLocalIterator():
-        done[row["action"]] += 1
-        if row["action"] != "noop":
-            send(row["action"], {"title": row["title"], "body": row["body"], "number": row["number"]})
-    return done
 
+def write_actions(actions: DataFrame, config: Config, tasks: int = 4, receipt: str | None = None) -> dict[str, int]:
+    """Sends creations and updates of issues (title, body, number, action) to the tracker, from a few tasks, each issue once. Gives how many of each were asked for.
 
-def tracker_sender(config: Config) -> Send:
-    """Sends to a tracker's HTTP interface: POST for a new issue, PATCH for a changed one; an answer that is no success raises."""
+    The actions are kept first: they were made from the tracker's issues, which change while they are sent.
+    """
     token, repository = config.tracker()
-    base = f"{config.tracker_url}/repos/{repository}/issues"
-
-    def send(action: str, issue: dict) -> None:
-        create = action == "create"
-        body = {"title": issue["title"], "body": issue["body"]} if create else {"body": issue["body"]}
-        headers = {"User-Agent": AGENT, "Accept": "application/json", "Content-Type": "application/json", "Authorization": f"Bearer {token}"}
-        request = urllib.request.Request(base if create else f"{base}/{issue['number']}", json.dumps(body).encode(), headers, method="POST" if create else "PATCH")
-        with urllib.request.urlopen(request, timeout=config.request_timeout):
-            pass
-
-    return send
+    options = {"base": f"{config.tracker_url}/repos/{repository}/issues", "token": token, "timeout": str(config.request_timeout)}
+    register(actions.sparkSession)
+    planned = held(actions.select("title", "body", F.col("number").cast("long").alias("number"), "action"))
+    counts = {r["action"]: r["count"] for r in planned.groupBy("action").count().collect()}
+    if set(counts) - {"noop"}:
+        # By title, so that equal titles meet in one task.
+        rows = planned.filter("action <> 'noop'").repartition(tasks, "title")
+        rows.write.format("tracker_issues").mode("append").options(**options | ({"receipt": receipt} if receipt else {})).save()
+    return {x: counts.get(x, 0) for x in ACTIONS}
+
+
+def held(df: DataFrame) -> DataFrame:
+    """The rows as they are now: in the folder of spark.checkpoint.dir if there is one, so that they outlive executors, else in memory and on disks."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
 
 
 def summary_subject(day: dt.date, zone: str, n: int) -> str:

@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.arrow import cards as read_cards
-from ..functions.arrow import clean
 from ..operators.titles import first_per, title_index
 from ..schema import INDEXED_TITLE, ISSUE, SEEN, TEXT
 from .http import fetch
+from .sitemaps import sitemap_urls
+from .versions import Versions
+
+__all__ = ["cached_index", "cards_of", "fetched_pages", "fresh", "saved_issues", "saved_pages", "saved_payloads", "seen_state", "sitemap_urls"]
 
 
 def cards_of(payloads: DataFrame) -> DataFrame:
@@ -48,38 +51,12 @@ def saved_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("html"))
 
 
-@F.pandas_udf(TEXT)
-def _clean(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: clean(v or ""))
-
-
-def sitemap_urls(spark: SparkSession, *paths: str) -> DataFrame:
-    """url and pos of the entries of sitemap files, in the order of files and entries."""
-    parts = []
-    for k, path in enumerate(paths):
-        text = spark.read.text(path, wholetext=True)
-        found = F.regexp_extract_all("value", F.lit(r"(?is)<loc(?:\s[^>]*)?>(.*?)</loc\s*>"), F.lit(1))
-        parts.append(text.select(F.posexplode(found).alias("at", "raw")).select(_clean("raw").alias("url"), (F.lit(k).cast("long") * 1_000_000_000 + F.col("at")).alias("pos")))
-    whole = parts[0]
-    for x in parts[1:]:
-        whole = whole.union(x)
-    return whole
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.format("binaryFile").load(path).limit(0)
-    except AnalysisException:
-        return False
-    return True
-
-
 def seen_state(spark: SparkSession, path: str) -> tuple[bool, DataFrame]:
     """Whether a poll has run before, and the urls seen; nothing where there is no table yet."""
-    versions = sorted(r["version"] for r in spark.read.schema("version long, bootstrapped boolean").json(f"{path}/pointer").collect()) if exists(spark, f"{path}/pointer") else []
-    if not versions:
+    versions = Versions(spark, path)
+    if not (last := versions.last()):
         return False, spark.createDataFrame([], SEEN)
-    return True, spark.read.schema(SEEN).parquet(f"{path}/urls-{versions[-1]}")
+    return True, spark.read.schema(SEEN).parquet(f"{path}/{versions.read(last)['table']}")
 
 
 def fresh(refreshed_at: str | None, now: dt.datetime, max_age_hours: float = 24) -> bool:
@@ -95,16 +72,18 @@ def fresh(refreshed_at: str | None, now: dt.datetime, max_age_hours: float = 24)
 
 def cached_index(spark: SparkSession, path: str, scan, now: dt.datetime | None = None, max_age_hours: float = 24, fold: bool = True) -> DataFrame:
     """The title index from its table if that is fresh, else scanned anew (scan() gives url and pos) and written."""
-    now = now or dt.datetime.now(dt.UTC)
-    if exists(spark, f"{path}/meta"):
-        for row in sorted(spark.read.schema("refreshed_at string, version long").json(f"{path}/meta").collect(), key=lambda r: r["version"] or 0)[-1:]:
-            if fresh(row["refreshed_at"], now, max_age_hours):
-                held = spark.read.schema(INDEXED_TITLE).parquet(f"{path}/titles-{row['version']}")
-                return first_per(held, "url")
-    version = int(now.timestamp() * 1000)
-    title_index(scan(), fold).write.mode("overwrite").parquet(f"{path}/titles-{version}")
-    spark.createDataFrame([(now.isoformat(), version)], "refreshed_at string, version long").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
-    return spark.read.schema(INDEXED_TITLE).parquet(f"{path}/titles-{version}")
+    now, versions = now or dt.datetime.now(dt.UTC), Versions(spark, path)
+    while True:
+        last = versions.last()
+        held = versions.read(last) if last else {}
+        if fresh(held.get("refreshed_at"), now, max_age_hours):
+            return first_per(spark.read.schema(INDEXED_TITLE).parquet(f"{path}/{held['table']}"), "url")
+        table = f"titles-{uuid.uuid4().hex}"
+        title_index(scan(), fold).write.parquet(f"{path}/{table}")
+        if versions.claim(last + 1, {"table": table, "refreshed_at": now.isoformat()}):
+            versions.tidy()
+            return spark.read.schema(INDEXED_TITLE).parquet(f"{path}/{table}")
+        versions.drop(table)  # another poll has made one meanwhile
 
 
 def saved_issues(spark: SparkSession, path: str) -> DataFrame:
