@@ -4,8 +4,16 @@ Every element of a page gets a density: its characters per tag, damped by the
 share of its characters and tags that belong to links. An element's density sum
 is the sum over its children that are blocks. Going from the body to the element of the largest
 sum, the lowest density on that path is the threshold; among the elements that
-reach it, the one with the largest sum holds the article, with what stands beside
-it and reaches the threshold too, or is a heading. No element's name decides.
+reach it, the one with the largest sum is of the article. No element's name decides
+which one that is.
+
+From there the way goes up to what holds the whole article. An article element
+around it is taken as it is. Else, level by level, what stands beside it stays as
+long as it belongs: headings, paragraphs, lists, tables and the like, elements of
+the same tag and class, blocks of one or two lines (not below the body), and blocks
+that reach the threshold; not what is nearly all links, nor lines of copyright. Where
+a block doesn't belong, nothing further in that direction does, and above that level
+only a title before the article is looked for.
 
 Elements whose tag or role says what they are (navigation, footers, forms and so
 on) are taken out before any density is computed. So are blocks with a class or id
@@ -32,6 +40,8 @@ from .common import add_columns
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes plaintext".split())
+#: Elements that an article's text is made of.
+FLOW = frozenset("p ul ol dl table blockquote pre figure time address hr details".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split()
 )
@@ -44,7 +54,7 @@ DROPPED_WORDS = frozenset(
     "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager sidebar sidebars aside rail widget widgets "
     "header masthead topbar footer foot colophon copyright comment comments disqus respond replies reply "
     "cookie cookies consent gdpr notice notices banner banners popup modal overlay newsletter subscribe subscription signup "
-    "login share sharing social related recommended recommendations trending form search skip toolbar".split()
+    "login reactions share sharing social related recommended recommendations trending form search skip toolbar".split()
 )
 #: Words that may stand beside those without making them say something else.
 BESIDE = frozenset(
@@ -57,6 +67,8 @@ OTHERS = frozenset("comment comments ad ads advert sidebar related footer nav na
 #: A block that has or lacks something is no such thing itself.
 ABOUT = frozenset("with has have no without layout not".split())
 HEADERS = frozenset("header masthead".split())
+#: A header with one of these words isn't the article's, wherever it stands.
+OF_SITE = frozenset("site global".split())
 CLOSES_P = frozenset(
     "address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul li dt dd".split()
 )
@@ -83,10 +95,12 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
 class Node:
     """An element; dropped if it is no text for certain, named if a class or id says so (1) or may say so (2)."""
 
-    __slots__ = ("chars", "children", "density", "dropped", "holds", "links", "link_tags", "name", "named", "parent", "parts", "sum", "tags")
+    __slots__ = ("block", "blocks", "chars", "children", "density", "dropped", "holds", "kind", "links", "link_tags", "name", "named", "parent", "parts", "sum", "tags", "titles")
 
-    def __init__(self, name: str, parent: Node | None, dropped: bool, named: int = 0):
-        self.name, self.parent, self.dropped, self.named = name, parent, dropped, named
+    def __init__(self, name: str, parent: Node | None, dropped: bool, named: int = 0, kind: str = ""):
+        self.name, self.parent, self.dropped, self.named, self.kind = name, parent, dropped, named, kind
+        self.block = parent.block if parent and name in INLINE else self  # the nearest element that is no formatting
+        self.blocks = self.titles = 0
         self.children: list[Node] = []
         self.parts: list[str | Node] = []
         self.chars = self.tags = self.links = self.link_tags = 0
@@ -108,7 +122,7 @@ def named(name: str, attributes: dict[str, str], inside_article: bool) -> int:
     found = 0
     for token in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
         words = set(WORDS.findall(token))
-        says = words & DROPPED_WORDS - (HEADERS if inside_article else frozenset())
+        says = words & DROPPED_WORDS - (HEADERS if inside_article and not words & OF_SITE else frozenset())
         if not says or words & ABOUT or words & OWN and not says & OTHERS:
             continue
         if words <= DROPPED_WORDS | BESIDE:
@@ -170,11 +184,8 @@ def parse(page: str) -> Node:
         if name == "br":
             text(" ")
         if name in CLOSES_P and opened["p"]:
-            node = here
-            while node is not root and node.name in INLINE:
-                node = node.parent
-            if node.name == "p":
-                here = leave(node.parent)
+            if here.block.name == "p":
+                here = leave(here.block.parent)
         if name in SIBLINGS:
             closed, limit = SIBLINGS[name]
             node = here if any(opened[x] for x in closed) else root
@@ -185,7 +196,7 @@ def parse(page: str) -> Node:
         raw = page[m.end() : at - 1]
         attributes = {a[1].lower(): html.unescape(a[2] or a[3] or a[4] or "") for a in ATTR.finditer(raw)} if raw.strip(" /") else {}
         inside = opened["article"] + opened["main"] > 0
-        node = Node(name, here, here.dropped or no_text(name, attributes, inside), named(name, attributes, inside))
+        node = Node(name, here, here.dropped or no_text(name, attributes, inside), named(name, attributes, inside), attributes.get("class", "").strip())
         here.children.append(node)
         here.parts.append(node)
         if name in VOID:
@@ -210,7 +221,9 @@ def measured(root: Node) -> list[Node]:
     order.reverse()
     for node in order:
         node.chars = sum(len("".join(x.split())) for x in node.parts if x.__class__ is str)
-        node.tags = node.links = node.link_tags = 0
+        node.tags = node.links = node.link_tags = node.blocks = 0
+        node.titles = int(node.name == "h1")
+        own = node.chars
         node.holds = node.name in ("article", "main", "body")
         for x in node.children:
             if not x.dropped:
@@ -219,6 +232,10 @@ def measured(root: Node) -> list[Node]:
                 node.links += x.links
                 node.link_tags += x.link_tags + (x.name == "a")
                 node.holds |= x.holds
+                node.titles += x.titles
+                node.blocks += x.blocks if x.name not in INLINE else 0
+                own += x.chars if x.name in INLINE else 0
+        node.blocks += own > 0  # texts of blocks of their own
         if node.name == "a":
             node.links = node.chars
     body = next((x for x in order if x.name == "body"), root)
@@ -257,20 +274,27 @@ def without_named(root: Node) -> list[Node]:
 
 
 def article(root: Node) -> list[Node]:
-    """The element of the largest density sum among those that reach the threshold of the body's path, and what belongs to it beside it.
+    """The elements of the article, in page order: see the module's text. What they hold that doesn't belong is marked as dropped.
 
-    To either side siblings are taken as long as they reach the threshold or are headings.
-    Of elements with equal sums the one with more characters holds the article, of these the one that closes first.
+    Of elements with equal sums the one with more characters is of the article, of these the one that closes first.
     """
     order = without_named(root)
     body = next((x for x in order if x.name == "body"), root)
     inside = [x for x in order if x.name not in INLINE and x.chars]
     if not inside:
         return [body]
+    best, threshold = densest(inside, body)
+    whole, node = None, best
+    while node is not None:
+        whole, node = node if node.name == "article" else whole, node.parent
+    return climbed(whole or best, threshold, whole is not None)
+
+
+def densest(inside: list[Node], body: Node) -> tuple[Node, float]:
+    """The element of the largest density sum among those that reach the threshold of the body's path, and the threshold."""
     top = max(inside, key=lambda x: (x.sum, x.chars))
     threshold = path_threshold(top, body)
-    best = max((x for x in inside if x.density >= threshold), key=lambda x: (x.sum, x.chars))
-    return [best] if best is body or best.parent is None else beside(best, threshold)
+    return max((x for x in inside if x.density >= threshold), key=lambda x: (x.sum, x.chars)), threshold
 
 
 def path_threshold(top: Node, body: Node) -> float:
@@ -282,24 +306,68 @@ def path_threshold(top: Node, body: Node) -> float:
     return threshold
 
 
-def beside(best: Node, threshold: float) -> list[Node]:
-    """An element and what belongs to it to either side; if that is all of its parent, the same of the parent."""
-    # Articles beside an article are parts of one page.
-    belongs = lambda x: x.name in HEADINGS or x.name == best.name == "article" or x.name not in INLINE and x.density >= threshold
-    while True:
-        siblings = [x for x in best.parent.children if not x.dropped and x.chars]
-        first = last = next(k for k, x in enumerate(siblings) if x is best)
-        while first and belongs(siblings[first - 1]):
-            first -= 1
+COPYRIGHT = ("©", "(c)", "copyright", "all rights")
+
+
+def links_only(x: Node) -> bool:
+    return x.name not in HEADINGS and x.links > 0.8 * x.chars
+
+
+def no_line_of_text(x: Node) -> bool:
+    """Whether a block is nearly all links, or a line of copyright."""
+    return links_only(x) or x.blocks <= 2 and block_text([x])[:40].lower().startswith(COPYRIGHT)
+
+
+def climbed(node: Node, threshold: float, narrow: bool) -> list[Node]:
+    """An element with what belongs to the article on every level above it. If narrow, only articles beside an article and a title do."""
+    found, titled = [node], node.titles > 0
+    while node.name != "body" and node.parent is not None:
+        up = node.parent
+        free = up.name not in ("body", "html", "#root")
+        siblings = [x for x in up.children if not x.dropped and x.chars]
+        at = next(k for k, x in enumerate(siblings) if x is node)
+
+        def belongs(x: Node, node: Node = node, free: bool = free) -> bool:
+            if x.name in INLINE or no_line_of_text(x):
+                return False
+            peer = x.name == node.name and (x.name in ("article", "section") or bool(x.kind) and x.kind == node.kind)
+            if narrow:
+                return x.name == node.name == "article"
+            return peer or x.name in FLOW or x.name in HEADINGS or x.density >= threshold or free and x.blocks <= 2
+
+        first = last = at
         while last + 1 < len(siblings) and belongs(siblings[last + 1]):
             last += 1
         # A heading after which nothing of the text comes is the next part's.
-        while siblings[last].name in HEADINGS and siblings[last] is not best:
+        while last > at and siblings[last].name in HEADINGS:
             last -= 1
-        found, up = siblings[first : last + 1], best.parent
-        if up.name in ("body", "html") or up.parent is None or up.chars != sum(x.chars for x in found):
-            return found
-        best = up
+        while first and belongs(siblings[first - 1]):
+            first -= 1
+        if not titled and not any(x.titles for x in siblings[first:at]):
+            first = title_before(siblings, first)
+        kept = siblings[first : last + 1]
+        lost = siblings[:first] + siblings[last + 1 :]
+        titled = titled or any(x.titles for x in kept)
+        if free and not narrow and all(map(no_line_of_text, lost)):
+            # All that isn't text goes, and the rest stays, with what stands between the elements.
+            for x in lost:
+                x.dropped = x.name not in INLINE
+            found = [up]
+        else:
+            found = siblings[first:at] + found + siblings[at + 1 : last + 1]
+            narrow = True
+        node = up
+    return found
+
+
+def title_before(siblings: list[Node], at: int) -> int:
+    """Where a heading stands before an element with nothing but short blocks between; else the element's own place."""
+    for k in range(at - 1, -1, -1):
+        if siblings[k].name in HEADINGS:
+            return k
+        if siblings[k].blocks > 2 or no_line_of_text(siblings[k]):
+            break
+    return at
 
 
 def block_text(tops: list[Node]) -> str:

@@ -68,6 +68,71 @@ def test_names_say_no_more_than_they_do(page, text):
     assert html_extract.main_text(page) == text
 
 
+P, NOTE, MENU = f"<p>{LONG}</p>", f"<p>{TEXT}</p>", "<ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul>"
+TABLE = "<table><tr><th>Year</th><th>Sum</th></tr><tr><td>2026</td><td>12</td></tr></table>"
+REFERENCES = "<h2>References</h2><ol><li>Doe, <a href=x>A title of a work</a>, 2020</li><li>Roe, <a href=y>Another one</a></li></ol>"
+SECTIONS = f"<section><h2>One</h2>{P}{P}</section><section><h2>Two</h2><p>Short.</p></section><section><h2>Three</h2><ul><li>a<li>b</ul></section>"
+ROWS, LIST, SOURCES = "Year\nSum\n2026\n12", "a\nb", "References\nDoe, A title of a work, 2020\nRoe, Another one"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article>{SECTIONS}</article>", f"One\n{LONG}\n{LONG}\nTwo\nShort.\nThree\n{LIST}"),
+        (f"<article><section>{P}</section><section>{TABLE}</section><section>{P}</section>{REFERENCES}</article>", f"{LONG}\n{ROWS}\n{LONG}\n{SOURCES}"),
+        (f"<div class=c9>{SECTIONS}{TABLE}{REFERENCES}</div>", f"One\n{LONG}\n{LONG}\nTwo\nShort.\nThree\n{LIST}\n{ROWS}\n{SOURCES}"),
+        (f"<div class=c9>{P}{TABLE}<ul><li>a<li>b</ul>{P}{REFERENCES}</div><div class=c1>{MENU}</div>", f"{LONG}\n{ROWS}\n{LIST}\n{LONG}\n{SOURCES}"),
+        (f"<div class=c9><h1>T</h1><div class=by>By <a href=x>Jane</a></div><time>1 May</time><div class=content>{P}{P}</div></div>", f"T\nBy Jane\n1 May\n{LONG}\n{LONG}"),
+        (f"<h1>T</h1><div class=by>By Jane</div><p>1 May</p><div class=content>{P}{P}</div><div class=c1>{SIDE}</div>", f"T\nBy Jane\n1 May\n{LONG}\n{LONG}"),
+        (f"<main><header class=site-header><p>Site</p></header><div class=lead>A short lead.</div><div class=content>{P}{P}</div><p>The end.</p></main>", f"A short lead.\n{LONG}\n{LONG}\nThe end."),
+        (f"<div class=page><div class=top>{MENU}</div><p>A short lead.</p><div class=content>{P}{P}</div><p>The end.</p><div class=b>© 2026 House</div></div>", f"A short lead.\n{LONG}\n{LONG}\nThe end."),
+        (f"<div class=row><div class=column>{P}</div><div class=column>{NOTE}</div><div class=column><p>Short.</p></div></div>", f"{LONG}\n{TEXT}\nShort."),
+        (f"<div class=page><h1>T</h1><div class=row><div class=content>{P}{P}</div><div class=c1>{SIDE}</div></div></div>", f"T\n{LONG}\n{LONG}"),
+        (f"<div class=page><h1>T</h1><article>{P}{P}</article><div class=c3>{SIDE}</div></div>", f"T\n{LONG}\n{LONG}"),
+        (f"<div class=c9>Words before. <div class=content>{P}</div> Words after.</div>", f"Words before.\n{LONG}\nWords after."),
+        (f"<div class=c9><div class=content>{P}{P}</div><h2>More</h2></div><div class=c1>{SIDE}</div>", f"{LONG}\n{LONG}"),
+        (f"<article><h1>T</h1>{P}<div class=reactions>{P}</div></article>", f"T\n{LONG}"),
+    ],
+)
+def test_articles_stay_whole(page, text):
+    assert html_extract.main_text(f"<html><body>{page}</body></html>") == text
+
+
+def test_many_siblings_and_ties():
+    """Equal blocks, very many: all of them, in order."""
+    blocks = [f"<div class=x><p>{k:06} {TEXT}</p></div>" for k in range(20_000)]
+    began = time.time()
+    got = html_extract.main_text("<body><div>" + "".join(blocks) + "</div></body>").split("\n")
+    assert got == [f"{k:06} {TEXT}" for k in range(20_000)] and time.time() - began < 10
+    odd = "".join(f"<div class=c{k % 3}><p>{TEXT * (1 + k % 4)}</p><p>a</p></div>" for k in range(5000))
+    began = time.time()
+    html_extract.main_text(f"<body><div>{odd}</div></body>")
+    html_extract.main_text("<p><button>" + "<b>" * 8000 + "<div></div>" * 8000)
+    assert time.time() - began < 10
+
+
+def test_only_what_does_not_belong_is_missing():
+    """On random trees: the text is the page's in page order, with all of the densest element, and without dropped ones."""
+    rng = random.Random(23)
+
+    def tree(depth):
+        name = rng.choice(["div", "section", "ul", "p", "b", "a", "nav", "h2", "article"]) if depth else "div"
+        inner = "".join(tree(depth + 1) if depth < 5 and rng.random() < 0.6 else f"w{rng.random()} " * rng.randint(0, 9) for _ in range(rng.randint(1, 4)))
+        return f"<{name}>{inner}</{name}>"
+
+    for _ in range(200):
+        page = f"<html><body>{tree(0)}{tree(0)}</body></html>"
+        root = html_extract.parse(page)
+        every = html_extract.without_named(root)
+        whole = html_extract.block_text([root]).split()
+        inside = [x for x in every if x.name not in html_extract.INLINE and x.chars]
+        body = next(x for x in every if x.name == "body")
+        core = html_extract.block_text([html_extract.densest(inside, body)[0]]).split() if inside else []
+        got = html_extract.main_text(page).split()
+        places = [whole.index(x) for x in got]
+        assert places == sorted(places) and {*core} <= {*got}
+
+
 def slow_density(node, share):
     """Composite text density of an element, by walking all that is below it."""
     chars = tags = links = link_tags = 0
