@@ -146,6 +146,7 @@ class _Cards(HTMLParser):
         self.open: list[tuple[str, set[str], str | None]] = []
         self.cards: list[dict] = []
 
+    # Fixed values below: the class names of the feed.
     def inside(self, tag: str, name: str | None = None) -> bool:
         return any(t == tag and (name is None or name in classes) for t, classes, _ in self.open)
 

@@ -74,17 +74,21 @@ def stated_growth(c: Column) -> Column:
     return group(c, STATED_GROWTH).try_cast("double")
 
 
-def once(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value computed once, however often body uses it."""
-    return F.transform(F.array(value), body)[0]
+def amount_match(lowered: Column, patterns: list[str]) -> Column:
+    """What the first of the patterns that matches has matched in a lower-cased text. Where there is no unit of money, nothing is looked for."""
+    return F.when(F.contains(lowered, F.lit("usd")), F.coalesce(*(group(lowered, p, 0) for p in patterns)))
+
+
+def matched_amount(match: Column) -> Column:
+    """The amount of a match, in single units. A match is short, so that it may be read more than once."""
+    unit = group(match, AMOUNT, 2)
+    scale = F.when(unit == "thousand", F.lit(UNITS["thousand"])).when(unit == "million", F.lit(UNITS["million"])).when(unit == "billion", F.lit(UNITS["billion"]))
+    return group(match, AMOUNT).try_cast("double") * scale
 
 
 def amount(c: Column, patterns: list[str]) -> Column:
     """The amount of the first pattern that matches, in single units."""
-    units = F.create_map(*(F.lit(x) for pair in UNITS.items() for x in pair))
-    # The amount itself is read out of the match, which is short.
-    value = lambda m: group(m, AMOUNT).try_cast("double") * units[group(m, AMOUNT, 2)]
-    return once(F.lower(c), lambda text: once(F.coalesce(*(group(text, p, 0) for p in patterns)), value))
+    return matched_amount(amount_match(F.lower(c), patterns))
 
 
 def start_amount(c: Column) -> Column:

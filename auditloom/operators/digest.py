@@ -142,32 +142,36 @@ def group_key(instruction: Column, title: Column) -> Column:
     return F.coalesce(F.nullif(strip(instruction), F.lit("")), strip(title))
 
 
-def digest_members(issues: DataFrame) -> DataFrame:
-    """A row for each finding of the digest with its group's key and number and its own place within the group.
-
-    Of findings that agree in report url, title, instruction and evidence only
-    the first, by report title, url and issue url, is a member. Groups are
-    numbered by their key.
-    """
+def unique_findings(issues: DataFrame) -> DataFrame:
+    """A row for each finding with its group's key. Of findings that agree in report url, title, instruction and evidence only the first, by report title, url and issue url, stays."""
     one = issues.select("report_title", "report_url", "html_url", F.col("title").alias("issue_title"), F.posexplode("findings").alias("at", "finding"))
     one = one.withColumn("key", group_key(F.col("finding.correction_instruction"), F.col("finding.title")))
     same = ["report_url", F.col("finding.title"), strip(F.col("finding.correction_instruction")), F.array_join("finding.evidence", "||")]
-    order = [F.lower("report_title"), F.col("report_url"), F.col("html_url"), F.col("at")]
-    kept = one.withColumn("_k", F.row_number().over(Window.partitionBy(*same).orderBy(*order))).filter("_k = 1").drop("_k")
+    return one.withColumn("_k", F.row_number().over(Window.partitionBy(*same).orderBy(*member_order()))).filter("_k = 1").drop("_k")
+
+
+def member_order() -> list[Column]:
+    return [F.lower("report_title"), F.col("report_url"), F.col("html_url"), F.col("at")]
+
+
+def digest_members(issues: DataFrame) -> DataFrame:
+    """A row for each finding of the digest with its group's key and number and its own place within the group. Groups are numbered by their key."""
+    kept = unique_findings(issues)
     # The distinct keys are far fewer than the findings; only they are numbered in one order.
     numbers = kept.select("key").distinct().withColumn("number", F.row_number().over(Window.orderBy("key")))
-    return kept.join(numbers, "key").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(*order)))
+    return kept.join(numbers, "key").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(*member_order())))
 
 
 def digest_groups(issues: DataFrame) -> DataFrame:
-    """key, number and size of every group."""
-    return digest_members(issues).groupBy("key", "number").agg(F.count("*").alias("size"))
+    """key, number and size of every group, and on each row the number of groups and of findings in all: the findings are gone through once."""
+    grouped = unique_findings(issues).groupBy("key").agg(F.count("*").alias("size"))
+    every = Window.partitionBy()
+    return grouped.select("key", F.row_number().over(Window.orderBy("key")).alias("number"), "size", F.count("*").over(every).alias("groups"), F.sum("size").over(every).alias("findings"))
 
 
 def digest_counts(issues: DataFrame) -> DataFrame:
     """issues (all, with or without findings), groups and findings."""
-    # From the groups, which are few and whose shuffles are there already where they are made too.
-    groups = digest_groups(issues).agg(F.count("*").alias("groups"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("findings"))
+    groups = unique_findings(issues).groupBy("key").agg(F.count("*").alias("size")).agg(F.count("*").alias("groups"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("findings"))
     return issues.agg(F.count("*").alias("issues")).join(F.broadcast(groups))
 
 

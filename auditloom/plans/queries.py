@@ -401,7 +401,8 @@ g AS (SELECT key, count(*) AS size, row_number() OVER (ORDER BY key) AS number F
 def q17_digest_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of corrections in key order, their sizes, and the counts of the whole digest."""
     issues = order_issues(spark, sf_dir)
-    return digest.digest_groups(issues).join(F.broadcast(digest.digest_counts(issues))).select("key", "number", "size", "issues", "groups", "findings")
+    # One row, whatever the number of issues.
+    return digest.digest_groups(issues).join(F.broadcast(issues.agg(F.count("*").alias("issues")))).select("key", "number", "size", "issues", "groups", "findings")
 
 
 @query(ISSUES_SQL + "SELECT m.key, number::INT AS number, html_url, nth, row_number() OVER (PARTITION BY m.key ORDER BY lower(report_title), report_url, html_url, nth)::INT AS place FROM m JOIN g USING (key)")
@@ -545,9 +546,8 @@ def q24_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All three rules on every page, the title index being the pages' own titles; counts of a run."""
     made = market_pages(spark, sf_dir)
     index = titles.with_title_keys(made.select("url", F.col("card_title").alias("title"), F.col("url").alias("pos")), F.col("title"), fold=False)
-    audited = rules.rule_findings(made, index, fold=False, unique_urls=True)
-    of = lambda title: F.sum(F.size(F.filter("findings", lambda x: F.contains(x["title"], F.lit(title))))).alias
-    return audited.agg(F.count("*").alias("audited"), F.count_if(F.size("findings") > 0).alias("with_issues"), of("Forecast years")("years"), of("CAGR")("growth"), of("duplicates")("titles"))
+    found = rules.rule_flags(made, index, fold=False, unique_urls=True)
+    return found.agg(F.count("*").alias("audited"), F.count_if(F.col("years") | F.col("growth") | F.col("titles")).alias("with_issues"), *(F.count_if(F.col(x)).alias(x) for x in ("years", "growth", "titles")))
 
 
 @query(
@@ -595,7 +595,7 @@ SUPPLIERS_SQL = """WITH s AS (SELECT s_suppkey AS k, 'Report ' || (s_suppkey % 1
   '- Dumbed-down version: ' || plain, '- Why this is an error: why', CASE WHEN k % 3 = 0 THEN '- Exact sentence(s):' || chr(10) || '  - e' || k || chr(10) || '  - more' ELSE '- Exact sentence(s): not captured' END, '') AS member FROM s),
 g AS (SELECT key, count(*) AS size, row_number() OVER (ORDER BY key) AS number, string_agg(member, chr(10) ORDER BY lower(report_title), report_url, html_url) AS members FROM m GROUP BY key),
 t AS (SELECT string_agg('## Correction Group ' || number || chr(10) || 'Copy-paste fix for upload team: ' || key || chr(10) || 'Affected findings: ' || size || chr(10) || chr(10) || members, chr(10) ORDER BY number) AS sections, count(*) AS groups, sum(size)::BIGINT AS findings FROM g)
-SELECT concat_ws(chr(10), '# Open correction digest', '', 'This issue is updated automatically from the currently open report issues.', 'Use it as the single queue for content corrections.', '', '- Open report issues: ' || (SELECT count(*) FROM s), '- Unique correction groups: ' || groups, '- Unique findings: ' || findings, '', rtrim(sections, chr(10)), '') AS body FROM t"""
+SELECT concat_ws(chr(10), '# Open correction digest', '', 'Rewritten by each run from the report issues that are open at the time.', 'Work through the corrections below; they are gathered by what has to be done.', '', '- Open report issues: ' || (SELECT count(*) FROM s), '- Unique correction groups: ' || groups, '- Unique findings: ' || findings, '', rtrim(sections, chr(10)), '') AS body FROM t"""
 )
 def q26_digest_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of the digest of all open issues."""
@@ -605,9 +605,9 @@ def q26_digest_body(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     SUPPLIERS_SQL
     + r"""d AS (SELECT *, concat_ws(chr(10), '## ' || report_title, '- Report URL: ' || report_url, '- Issue: ' || html_url, '- Listed date: unknown', '- Page publish date: unknown', '', '### Numbers', 'Category: numeric_inconsistency | Source: rule | Confidence: 0.95',
-  'Dumbed-down version: ' || plain, 'Why this is an error: why', 'Copy-paste fix for upload team: ' || coalesce(instruction, 'Please review this finding and correct the page content to match the verified source facts.'),
+  'Dumbed-down version: ' || plain, 'Why this is an error: why', 'Copy-paste fix for upload team: ' || coalesce(instruction, 'Please compare this finding with your sources and correct the page accordingly.'),
   'Exact sentence(s):', CASE WHEN k % 3 = 0 THEN '- e' || k || chr(10) || '- more' ELSE '- No evidence snippet was captured in the issue body.' END, '') AS section FROM s WHERE created_at >= TIMESTAMP '2024-01-10 18:30:00' AND created_at < TIMESTAMP '2024-01-11 18:30:00')
-SELECT concat_ws(chr(10), '# Report audit daily summary for January 11, 2024', '', '- Time zone: Asia/Calcutta', '- Repository: example/reports', '- Reports with issues: ' || count(*), '- Total findings: ' || count(*), '', CASE WHEN count(*) = 0 THEN 'No glaring issues were opened for this day.' ELSE rtrim(string_agg(section, chr(10) ORDER BY created_at DESC, html_url DESC), chr(10)) END, '') AS body FROM d"""
+SELECT concat_ws(chr(10), '# Report audit daily summary for January 11, 2024', '', '- Time zone: Asia/Calcutta', '- Repository: example/reports', '- Reports with issues: ' || count(*), '- Total findings: ' || count(*), '', CASE WHEN count(*) = 0 THEN 'Nothing was reported on this day.' ELSE rtrim(string_agg(section, chr(10) ORDER BY created_at DESC, html_url DESC), chr(10)) END, '') AS body FROM d"""
 )
 def q27_daily_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of a day's summary, newest issue first."""

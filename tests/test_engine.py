@@ -185,7 +185,7 @@ def test_digest(spark):
     assert "- Open report issues: 3\n- Unique correction groups: 2\n- Unique findings: 2\n" in body
     assert body.index("## Correction Group 1\nCopy-paste fix for upload team: Please align.\nAffected findings: 1") < body.index("## Correction Group 2\nCopy-paste fix for upload team: Please replace the incorrect company")
     assert "  - one\n  - two" in body and "not captured" in body
-    assert api.digest(issues(spark, report(9, ""))).first()["body"].endswith("No open glaring corrections are pending right now.\n")
+    assert api.digest(issues(spark, report(9, ""))).first()["body"].endswith("There is nothing to correct at present.\n")
     assert api.digest_action(held, digest.DIGEST_TITLE).first()["action"] == "create"
     same = issues(spark, report(1), (digest.DIGEST_TITLE, "d", "", api.digest(issues(spark, report(1))).first()["body"]))
     assert api.digest_action(same, digest.DIGEST_TITLE).first()["action"] == "noop"
@@ -198,7 +198,7 @@ def test_days(spark):
     body = api.daily(issues(spark, *rows), day, "Asia/Calcutta", "r").first()["body"]
     assert body.startswith("# Report audit daily summary for April 10, 2026\n\n- Time zone: Asia/Calcutta\n- Repository: r\n- Reports with issues: 2\n- Total findings: 4\n")
     assert body.index("t.example/3") < body.index("t.example/2")
-    assert api.daily(issues(spark), day).first()["body"].endswith("No glaring issues were opened for this day.\n")
+    assert api.daily(issues(spark), day).first()["body"].endswith("Nothing was reported on this day.\n")
     # A day of 23 hours.
     short = issues(spark, *(report(k, at=x) for k, x in enumerate(("2026-03-08T05:00:00Z", "2026-03-09T03:59:59Z", "2026-03-09T04:00:00Z"))))
     assert digest.of_day(short, F.lit(dt.date(2026, 3, 8)), "America/New_York").count() == 2
