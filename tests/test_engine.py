@@ -109,7 +109,7 @@ def test_reviews_are_merged(spark):
         assert len(review.with_reviews(audited, spark.createDataFrame([(BASE["url"], bad)], "url string, response string")).first()["findings"]) == 1
     prompt = json.loads(review.prompts(audited).first()["prompt"])
     assert prompt["report"]["h1"] == BASE["h1"] and prompt["rule_findings"].startswith("- Forecast years")
-    asked = review.ask(review.prompts(audited), lambda: lambda text: {"should_alert": False, "n": len(text)})
+    asked = review.ask(review.prompts(audited).withColumnRenamed("url", "key"), lambda: lambda text: {"should_alert": False, "n": len(text)})
     assert json.loads(asked.first()["response"])["n"] > 100
 
 
