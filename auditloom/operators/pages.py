@@ -43,12 +43,18 @@ def inner(page: Column, name: str) -> Column:
 
 
 def faq_and_date(page: Column) -> tuple[Column, Column]:
-    """From the scripts of JSON-LD, one level of lists and graphs deep: question and answer pairs, and the first date."""
+    """From the scripts of JSON-LD, lists and graphs as deep as they go: question and answer pairs, and the first date."""
     raw = F.regexp_extract_all(page, F.lit(r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script"""), F.lit(1))
     values = F.filter(F.transform(raw, lambda x: F.try_parse_json(plain(x))), lambda x: x.isNotNull())
-    kept = lambda x, kind: F.try_variant_get(x, "$", kind)
-    items = F.flatten(F.transform(values, lambda x: F.coalesce(kept(x, "array<variant>"), F.array(x))))
-    items = F.flatten(F.transform(items, lambda x: F.coalesce(F.try_variant_get(x, "$['@graph']", "array<variant>"), F.array(x))))
+    is_kind = lambda x, kind: F.schema_of_variant(x).startswith(kind)
+    members = lambda x: F.try_variant_get(x, "$", "array<variant>")
+    opened = lambda xs: F.flatten(F.transform(xs, lambda x: F.coalesce(members(x), F.array(x))))
+    # Lists are opened until none is left: at most as often as brackets open.
+    depth = F.array_max(F.concat(F.array(F.lit(0)), F.transform(raw, lambda x: F.length(x) - F.length(F.replace(x, F.lit("["), F.lit(""))))))
+    items = F.reduce(F.sequence(F.lit(0), depth), values, lambda xs, _: F.when(F.exists(xs, lambda x: is_kind(x, "ARRAY")), opened(xs)).otherwise(xs))
+    # Of a graph's members only those that are objects count, and they aren't opened.
+    graph = lambda x: F.filter(F.try_variant_get(x, "$['@graph']", "array<variant>"), lambda y: is_kind(y, "OBJECT"))
+    items = F.flatten(F.transform(items, lambda x: F.coalesce(graph(x), F.array(x))))
     dates = F.filter(F.transform(items, lambda x: squeeze(F.coalesce(F.try_variant_get(x, "$.datePublished", "string"), F.lit("")))), lambda x: x != "")
     pages = F.filter(items, lambda x: F.try_variant_get(x, "$['@type']", "string") == "FAQPage")
     entities = F.flatten(F.transform(pages, lambda x: F.coalesce(F.try_variant_get(x, "$.mainEntity", "array<variant>"), F.array().cast("array<variant>"))))

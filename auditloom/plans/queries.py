@@ -312,7 +312,7 @@ def review_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["category", "title", "explanation", "uploader_summary", "correction_instruction"]
     cases = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, case, strict=True))) for case in REVIEW_CASES))
     case = F.get(cases, (F.col("doc_id") % 10).cast("int"))
-    item = F.struct(*(case[n].alias(n) for n in names), ((F.col("n_chars") % 101) / 100).alias("confidence"), F.array(*(F.col("source") for _ in range(4))).alias("evidence"))
+    item = F.struct(*(case[n].alias(n) for n in names), ((F.col("n_chars") % 101) / 100).alias("confidence"), F.array(*(cat(F.col("source"), str(k)) for k in range(4))).alias("evidence"))
     return docs.select("doc_id", item.cast(REVIEW_ITEM).alias("item"), (F.col("n_chars") % 13 != 0).alias("should_alert"))
 
 
@@ -343,7 +343,8 @@ def q14_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     + """, r AS (SELECT doc_id, 'numeric_inconsistency' AS category, 'Numbers' AS title, 'rule' AS source, 0 AS at FROM documents WHERE doc_id % 4 = 0),
 n AS (SELECT b.doc_id, category, title, 'openai' AS source, k AS at FROM (SELECT doc_id, category, title, kept, unnest([1, 2]) AS k FROM g) b WHERE kept AND NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = b.doc_id AND r.category = b.category AND r.title = b.title)
   QUALIFY row_number() OVER (PARTITION BY b.doc_id, category, title ORDER BY k) = 1)
-SELECT d.doc_id, count(m.title)::INT AS n_findings, coalesce(string_agg(m.source || ':' || m.title, ',' ORDER BY m.at), '') AS findings FROM documents d LEFT JOIN (SELECT * FROM r UNION ALL SELECT * FROM n) m USING (doc_id) GROUP BY d.doc_id"""
+SELECT d.doc_id, count(m.title)::INT AS n_findings, coalesce(string_agg(m.source || ':' || m.title, ',' ORDER BY m.at), '') AS findings,
+  coalesce(string_agg(CASE m.source WHEN 'openai' THEN d.source || '0,' || d.source || '1,' || d.source || '2' END, ',' ORDER BY m.at), '') AS evidence FROM documents d LEFT JOIN (SELECT * FROM r UNION ALL SELECT * FROM n) m USING (doc_id) GROUP BY d.doc_id"""
 )
 def q15_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule findings with the reviewer's new ones behind them; what repeats a category and title goes."""
@@ -351,7 +352,7 @@ def q15_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.when(F.col("doc_id") % 4 == 0, F.array(rules.finding("numeric_inconsistency", "Numbers", "", "", "", 0.98, F.array().cast("array<string>")))).otherwise(F.array()).cast(FINDINGS)
     reviewed = review.accepted(F.struct(F.col("should_alert").alias("should_alert"), F.array("item", "item").alias("findings")))
     found = items.select("doc_id", own.alias("own"), reviewed.alias("reviewed")).select("doc_id", review.merged(F.col("own"), F.col("reviewed")).alias("f"))
-    return found.select("doc_id", F.size("f").alias("n_findings"), F.array_join(F.transform("f", lambda x: F.concat_ws(":", x["source"], x["title"])), ",").alias("findings"))
+    return found.select("doc_id", F.size("f").alias("n_findings"), F.array_join(F.transform("f", lambda x: F.concat_ws(":", x["source"], x["title"])), ",").alias("findings"), F.array_join(F.flatten(F.transform("f", lambda x: x["evidence"])), ",").alias("evidence"))
 
 
 # --- days
@@ -364,6 +365,24 @@ def q16_day_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.of_day(events, F.lit(dt.date(2024, 1, 10)), "Asia/Calcutta", "at").select("event_id", "ts")
 
 
+@query(
+    """WITH h AS (SELECT event_id, TIMESTAMP '2024-03-09 12:00:00' + to_hours(CAST(event_id % 60 AS INT)) AS spring, TIMESTAMP '2024-11-02 12:00:00' + to_hours(CAST(event_id % 60 AS INT)) AS autumn FROM events)
+SELECT event_id, 'spring' AS day, spring AS at FROM h WHERE spring >= TIMESTAMP '2024-03-10 05:00:00' AND spring < TIMESTAMP '2024-03-11 04:00:00'
+UNION ALL SELECT event_id, 'autumn', autumn FROM h WHERE autumn >= TIMESTAMP '2024-11-03 04:00:00' AND autumn < TIMESTAMP '2024-11-04 05:00:00'"""
+)
+def q16b_odd_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of a day of 23 hours and of one of 25, an hour apart for each event."""
+    events = table(spark, sf_dir, "events", "event_id")
+
+    def of(name: str, start: dt.datetime, day: dt.date) -> DataFrame:
+        at = F.timestamp_add("HOUR", (F.col("event_id") % 60).cast("int"), F.lit(start))
+        return digest.of_day(events.select("event_id", F.lit(name).alias("day"), at.alias("at")), F.lit(day), "America/New_York", "at")
+
+    spring = of("spring", dt.datetime(2024, 3, 9, 12, tzinfo=dt.UTC), dt.date(2024, 3, 10))
+    found = spring.union(of("autumn", dt.datetime(2024, 11, 2, 12, tzinfo=dt.UTC), dt.date(2024, 11, 3)))
+    return found.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
 # --- issues made of orders
 
 
@@ -524,11 +543,11 @@ def q22_json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT page_id, 'd' || page_id AS publish_date, CASE WHEN page_id % 3 = 0 THEN '' ELSE 'Q' || page_id || '=A & B' END AS faq, CASE WHEN page_id % 3 = 0 THEN 0 ELSE 1 END AS n_faq FROM pages"""
 )
 def q23_jsonld_faq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Question and answer pairs and the date out of JSON-LD, one script of which is broken."""
+    """Question and answer pairs and the date out of JSON-LD, one script of which is broken, and one has lists within lists."""
     script = lambda *x: cat('<script type="application/ld+json">', *x, "</script>")
     page = F.col("page_id")
     answer = F.when(page % 3 == 0, " ").otherwise("A &amp;\n B")
-    html = F.concat(script("{broken"), script('[{"@graph": [{"datePublished": "d', page, '"}, 3]}]'), script('{"@type": "FAQPage", "datePublished": "later", "mainEntity": [{"name": "Q', page, '", "acceptedAnswer": {"text": "', answer, '"}}, {"name": "no answer"}]}'))
+    html = F.concat(script("{broken"), script('["x", [[{"@graph": [[{"datePublished": "no"}], {"datePublished": "d', page, '"}, 3]}], [[]]], 5]'), script('{"@type": "FAQPage", "datePublished": "later", "mainEntity": [{"name": "Q', page, '", "acceptedAnswer": {"text": "', answer, '"}}, {"name": "no answer"}]}'))
     faq, date = pages.faq_and_date(F.col("html"))
     df = table(spark, sf_dir, "pages", "page_id").select("page_id", html.alias("html")).select("page_id", date.alias("publish_date"), faq.alias("faq"))
     return df.select("page_id", "publish_date", F.array_join(F.transform("faq", lambda x: F.concat_ws("=", x["question"], x["answer"])), "|").alias("faq"), F.size("faq").alias("n_faq"))

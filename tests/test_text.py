@@ -1,9 +1,11 @@
+import json
 import random
 
 from pyspark.sql import functions as F
 
 from auditloom.functions import text as t
 from auditloom.functions.arrow import ascii_fold, clean, normalize, read_cards, read_page
+from auditloom.operators.pages import faq_and_date
 
 
 def values(spark, made, *rows):
@@ -76,3 +78,28 @@ def test_cards():
     markup = """<div class="rep_div"><h3><a href=" /a ">A &amp; <b>B</b></a></h3><div class="info_content"><p>Sum</p><p>no</p></div><div class="date_box">May</div></div>
     <div class="rep_div"><h3>no link</h3></div><div class="rep_div x"><h3><a href="/c">C</a></h3></div>"""
     assert read_cards(markup) == [{"title": "A & B", "url": "/a", "summary": "Sum", "published_on": "May"}, {"title": "C", "url": "/c", "summary": "", "published_on": ""}]
+
+
+def test_nested_json_ld_as_the_tree_reader_has_it(spark):
+    """Lists within lists, graphs within lists, members of graphs that are none: the native way gives what the exact one gives."""
+    rng = random.Random(4)
+
+    def value(depth):
+        kind = rng.random()
+        if depth and kind < 0.5:
+            return [value(depth - 1) for _ in range(rng.randrange(4))]
+        if depth and kind < 0.65:
+            return {"@graph": [value(depth - 1) for _ in range(rng.randrange(3))]}
+        if kind < 0.8:
+            return rng.choice([1, "x", None, True, {}])
+        entities = [{"name": f"q{rng.random()}", "acceptedAnswer": {"text": "a"}}, rng.choice([3, {"name": "no answer"}, []])]
+        return rng.choice([{"datePublished": f"d{rng.random()}"}, {"@type": "FAQPage", "mainEntity": entities}, {"@type": "FAQPage", "mainEntity": "none"}])
+
+    pages = ["".join(f'<script type="application/ld+json">{json.dumps(value(6))}</script>' for _ in range(3)) for _ in range(150)]
+    pages += ['<script type="application/ld+json">' + "[" * 60 + '{"datePublished": "deep"}' + "]" * 60 + "</script>", ""]
+    faq, date = faq_and_date(F.col("html"))
+    rows = spark.createDataFrame(list(enumerate(pages)), "k int, html string").select("k", faq.alias("faq"), date.alias("date")).collect()
+    for r in rows:
+        exact = read_page(pages[r["k"]])
+        assert ([x.asDict() for x in r["faq"]], r["date"]) == (exact["faq_items"], exact["publish_date"])
+    assert sum(bool(r["faq"]) for r in rows) > 10 and sum(bool(r["date"]) for r in rows) > 10
