@@ -4,10 +4,13 @@ A document belongs to each domain in part: a classifier learned from a table of
 labels gives it a posterior. With n tokens, posterior p and rate r it brings
 r * n * p[k] tokens to domain k. The rates are the nonnegative ones whose
 domain totals come closest to the targets in least squares, with a small ridge
-towards a rate of one, found by gradient steps on the domains' gaps, scaled by
-the Gram matrix of the documents whose rates the projection leaves above zero,
-so that a rare domain moves as fast as a large one: each step needs one pass of
-sums over all documents, and a rate follows from the gaps where its row lies.
+towards a rate of one. A projected gradient step sets a rate to 1 less the product of
+the document's parts with the domains' gaps, projected to 0 and more, so a rate
+follows from the gaps where its row lies; what is looked for are the gaps that their
+own rates leave. Plain steps on them leave rare domains behind (see the README), so
+each step is scaled by the Gram matrix of the documents whose rates the projection
+leaves above zero, and shortened where it doesn't help: a damped Newton step in as
+many unknowns as there are domains. Each needs one pass of sums over all documents.
 """
 
 from __future__ import annotations
