@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import zstandard
+from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 
 from auditloom.llm import compression, host_rules, language, mixing, pii, secrets_scan
@@ -445,7 +446,7 @@ def test_rates_are_the_least_squares_ones(spark):
     n = rng.integers(0, 400, 200)
     targets = {"a": 0.7, "b": 0.25, "c": 0.05}
     df = spark.createDataFrame([(int(k), int(x), [float(v) for v in row]) for k, (x, row) in enumerate(zip(n, p, strict=True))], "id long, n_tokens long, p array<double>")
-    got = {r.id: r.rate for r in mixing.rates(df, targets, steps=40, tolerance=0).collect()}
+    got = {r.id: r.rate for r in mixing.rates(df, targets, steps=60, tolerance=0).collect()}
     rate, a, want = np.array([got[k] for k in range(200)]), p * (n / n.sum())[:, None], np.array(list(targets.values()))
     loss = lambda r: 0.5 * ((r @ a - want) ** 2).sum() + 1e-3 / 400 * ((r - 1) ** 2).sum()
     best = np.ones(200)
@@ -455,6 +456,52 @@ def test_rates_are_the_least_squares_ones(spark):
     assert np.abs(rate @ a - want).max() < 0.03
 
 
+def test_posteriors_by_hand(spark, documents):
+    """Tokens by a pattern, and the model's own coefficients applied to the hashed tokens that occur, with a softmax, in plain Python."""
+    rng = random.Random(8)
+    words = {"clean": ["report", "market", "growth"], "low": ["click", "buy", "!!"], "toxic": ["awful", "stupid", "hate"]}
+    rows, marks = [], []
+    for k in range(90):
+        kind = list(words)[k % 3]
+        rows.append((k, " ".join(rng.choice(words[kind] if rng.random() < 0.7 else ["the", "of", "Zürich", "1"]) for _ in range(12))))
+        marks.append((k, None if kind == "toxic" else int(kind == "clean"), int(kind == "toxic")))
+    docs, labels = documents([*rows, (200, None), (201, "  ")]), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    tokens = [[x.lower() for x in re.findall(r"[^\W\d_]+|\S", t)] for _, t in rows]
+    got = {r.doc_id: r for r in mixing.posteriors(docs.select("*", *(F.lit(1).alias(c) for c in ("tokens", "features", "probability", "p"))), labels).collect()}
+    assert [got[k].n_tokens for k in range(90)] == [len(x) for x in tokens] and got[200].n_tokens == got[201].n_tokens == 0
+
+    hashed = {t: HashingTF(numFeatures=mixing.FEATURES, binary=True, inputCol="t").indexOf(t) for x in tokens for t in x}
+    own = [sorted({hashed[t] for t in x}) for x in tokens]
+    column = {i: k for k, i in enumerate(sorted({i for x in own for i in x}))}
+    x = np.zeros((90, len(column)))
+    for k, row in enumerate(own):
+        x[k, [column[i] for i in row]] = 1
+    # Elastic net by plain proximal gradient steps, on features of unit deviation as the fit has them.
+    y, scale = np.eye(3)[np.arange(90) % 3], x.std(0, ddof=1)
+    z = np.divide(x, scale, out=np.zeros_like(x), where=scale > 0)
+    w, b, rate = np.zeros((z.shape[1], 3)), np.zeros(3), 1 / (np.linalg.norm(z, 2) ** 2 / 90 + 1)
+    for _ in range(20_000):
+        p = np.exp(z @ w + b)
+        p /= p.sum(1, keepdims=True)
+        w -= rate * (z.T @ (p - y) / 90 + 0.0015 * w)
+        w, b = np.sign(w) * np.maximum(np.abs(w) - rate * 0.0015, 0), b - rate * (p - y).mean(0)
+    assert np.abs(p - [got[k].p for k in range(90)]).max() < 0.05
+
+
+def test_rates_move_by_projected_steps(spark):
+    """Each document's rate after a step is its rate before, less the step's size times its parts and the gaps, projected to 0 and more."""
+    rng = np.random.default_rng(6)
+    p, n = rng.dirichlet([0.5, 0.5], 50), rng.integers(1, 50, 50)
+    a, pull, want = p * (n / n.sum())[:, None], 1e-3 / 50, np.array([0.8, 0.2])
+    df = spark.createDataFrame([(k, int(x), row.tolist()) for k, (x, row) in enumerate(zip(n, p, strict=True))], "id long, n_tokens long, p array<double>")
+    with pytest.warns(UserWarning, match="leave a slope"):
+        mixing.rates(df, {"a": 0.8, "b": 0.2}, steps=1, tolerance=1e-9)
+    size = 1 / (1 + (a.T @ a).sum(1) / pull)
+    after = np.maximum(0, 1 - a @ (size * (a.sum(0) - want)) / pull)
+    got = {r.id: r.rate for r in mixing.rates(df, {"a": 0.8, "b": 0.2}, steps=2, tolerance=0).collect()}
+    assert np.allclose([got[k] for k in range(50)], after)
+
+
 def test_mixing_edges(spark, documents):
     docs = documents([(1, "good words"), (2, None), (3, ""), (None, "x y"), (1, "good words"), (6, "long " * 300_000)])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
