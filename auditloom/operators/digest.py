@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import contains_any, iso_timestamp, local_day_start, strip
 from ..schema import FINDINGS
+from .numbering import numbered
 
 ISSUE_PREFIX = "[Report audit] Glaring errors detected:"
 DIGEST_TITLE = "[Report audit] Open correction digest"
@@ -157,16 +158,15 @@ def member_order() -> list[Column]:
 def digest_members(issues: DataFrame) -> DataFrame:
     """A row for each finding of the digest with its group's key and number and its own place within the group. Groups are numbered by their key."""
     kept = unique_findings(issues)
-    # The distinct keys are far fewer than the findings; only they are numbered in one order.
-    numbers = kept.select("key").distinct().withColumn("number", F.row_number().over(Window.orderBy("key")))
+    numbers = numbered(kept.select("key").distinct(), "key", "number")
     return kept.join(numbers, "key").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(*member_order())))
 
 
 def digest_groups(issues: DataFrame) -> DataFrame:
-    """key, number and size of every group, and on each row the number of groups and of findings in all: the findings are gone through once."""
+    """key, number and size of every group, and on each row the number of groups and of findings in all."""
     grouped = unique_findings(issues).groupBy("key").agg(F.count("*").alias("size"))
-    every = Window.partitionBy()
-    return grouped.select("key", F.row_number().over(Window.orderBy("key")).alias("number"), "size", F.count("*").over(every).alias("groups"), F.sum("size").over(every).alias("findings"))
+    totals = grouped.agg(F.count("*").alias("groups"), F.sum("size").alias("findings"))
+    return numbered(grouped, "key", "number").join(F.broadcast(totals)).select("key", "number", "size", "groups", "findings")
 
 
 def digest_counts(issues: DataFrame) -> DataFrame:

@@ -333,3 +333,16 @@ def test_settings_and_mail():
     with pytest.raises(ValueError, match="smtp_host"):
         sinks.mail(Config(summary_email_to="a", summary_email_from="b"), day, "", 2, Post)
     assert poll_arguments([]).max_new == 25 and summary_arguments(["--dry-run"]).dry_run
+
+
+def test_numbers_without_one_task_for_all(spark):
+    from auditloom.operators.numbering import numbered
+
+    keys = [None, "", "a", "B", "é", "z" * 5000, "\U0001f600", "￮", *(f"same beginning {k % 97} {k}" for k in range(600))]
+    want = {k: n for n, k in enumerate(sorted(keys, key=lambda x: (x is not None, (x or "").encode())), 1)}
+    rows = spark.createDataFrame([(k, len(k or "")) for k in keys], "key string, size int").repartition(5)
+    for bounds in (1, 7, 255, 5000):
+        got = numbered(rows, "key", "number", bounds).collect()
+        assert len(got) == len(keys) and {r.key: r.number for r in got} == want and all(r.size == len(r.key or "") for r in got)
+    assert numbered(rows.limit(0), "key", "number").count() == 0
+    assert [r.number for r in numbered(rows.filter("key is null"), "key", "number").collect()] == [1]
