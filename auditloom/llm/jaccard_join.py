@@ -7,7 +7,10 @@ The words of a shingle and the percent are parameters of ``join``; four and 85,
 2. In how many classes each shingle occurs is counted exactly. Hashes travel as
    blobs, one for each block of texts and range of hashes. Shingles that occur
    in one class only can't be shared; what comes back for a class is the list of
-   its shared shingles with their frequencies.
+   its shared shingles with their frequencies. Shingles that very many classes
+   hold are found beforehand, from counts within blocks of texts. Their
+   frequency is known where a text is read, so that their holders are dealt over
+   the ranges by class and never meet.
 3. A class's shingles are put in order from rare to frequent, those that it has
    to itself first. Two sets that link share one of the first n - ceil(0.85 n) + 1
    of either. Classes whose prefix holds only shingles of their own are done.
@@ -34,6 +37,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from . import word_hashes
 from .common import discard, slices, stored
@@ -55,6 +59,10 @@ PARTS = 16
 #: Copies of one text up to which its rows are shuffled together at the end, and how many classes may have more at most.
 COPIES = 1000
 HOT_CLASSES = 100_000
+#: In how many classes of a block of texts a shingle must occur to be counted beforehand; how many so counted make it a hot one; and how many hot ones there are at most.
+OFTEN = 8
+HOT = 100_000
+HOT_SHINGLES = 100_000
 LOW = 48  # bits of a shingle's hash that are kept within its range
 
 
@@ -81,19 +89,67 @@ def class_of(shingles: np.ndarray) -> int:
 
 
 def classes(docs: DataFrame, n_words: int = WORDS) -> DataFrame:
-    """doc_id, cls and n_shingles of every row; cls is null for a text without words."""
+    """doc_id, cls and n_shingles of every row; cls is null for a text without words.
+
+    Some rows have in often and times the shingles that many classes of a block of texts hold, and how many do.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = [(class_of(s) if len(s) else None, len(s)) for s in shingle_sets(batch.column("text").to_pylist(), n_words)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([c for c, _ in sets], pa.int64()), pa.array([n for _, n in sets], pa.int64())], ["doc_id", "cls", "n_shingles"])
+        for batch in batches:
+            own: dict[int, np.ndarray] = {}
+            size, done = 0, 0
+            for part in slices(iter([batch])):
+                names, sizes, counts = [], [], []
+                for s in shingle_sets(part.column("text").to_pylist(), n_words):
+                    names.append(class_of(s) if len(s) else None)
+                    sizes.append(len(s))
+                    if len(s) and names[-1] not in own:
+                        own[names[-1]] = s
+                        size += len(s)
+                    if size > IN_BLOCK:
+                        counts.append(counted(own))
+                        own, size = {}, 0
+                done += part.num_rows
+                if done == batch.num_rows and own:
+                    counts.append(counted(own))
+                often, times = (np.concatenate(x) for x in zip(*counts, strict=True)) if counts else ([], [])
+                nothing = [None] * (part.num_rows - 1)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array([*nothing, x if len(x) else None], pa.list_(pa.int64())) for x in (often, times))],
+                    ["doc_id", "cls", "n_shingles", "often", "times"],
+                )
+
+    def counted(own: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        h, n = np.unique(np.concatenate(list(own.values())), return_counts=True)
+        return h[n >= OFTEN].view(np.int64), n[n >= OFTEN]
 
     read = docs.select("doc_id", "text")
-    return read.mapInArrow(run, read.select("doc_id").schema.add("cls", "long").add("n_shingles", "long"))
+    return read.mapInArrow(run, read.select("doc_id").schema.add("cls", "long").add("n_shingles", "long").add("often", ArrayType(LongType())).add("times", ArrayType(LongType())))
+
+
+#: Hot shingles in order, and about how many classes hold each.
+Hot = tuple[np.ndarray, np.ndarray]
 
 
-def blobs(docs: DataFrame, bits: int, n_words: int = WORDS) -> DataFrame:
-    """Of each block of texts and each of 2**bits ranges: the classes, their sizes, how many shingles each has there, and these."""
+def hot_shingles(rows: DataFrame, shingles: int) -> Hot:
+    """The shingles of which counts within blocks come to HOT, or to one in HOT_SHINGLES of all shingles if that is more; so there are HOT_SHINGLES at most.
+
+    A class counts once for each block, and blocks with few holders don't count.
+    What is not hot is held by at most one in IN_BLOCK / OFTEN of all shingles besides.
+    The counts only put shingles in order, for which any numbers do that are the same for all.
+    """
+    counts = rows.filter("often is not null").select(F.explode(F.arrays_zip("often", "times")).alias("x")).groupBy(F.col("x.often").alias("shingle")).agg(F.sum("x.times").alias("n"))
+    found = counts.filter(F.col("n") >= max(HOT, shingles // HOT_SHINGLES)).collect()
+    h, n = np.array([x.shingle for x in found], np.int64).view(np.uint64), np.array([x.n for x in found], np.int64)
+    order = np.argsort(h)
+    return h[order], np.minimum(n[order], np.iinfo(np.int32).max).astype(np.int32)
+
+
+def blobs(docs: DataFrame, bits: int, n_words: int = WORDS, hot: Hot | None = None) -> DataFrame:
+    """Of each block of texts and each of 2**bits ranges: the classes, their sizes, how many shingles each has there, and these.
+
+    Hot shingles are in ranges -1 to -2**bits, by shingle and class together, and are given by their numbers.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,10 +171,17 @@ def blobs(docs: DataFrame, bits: int, n_words: int = WORDS) -> DataFrame:
         names = np.array(list(own), np.int64)
         h = np.concatenate(list(own.values()))
         part = (h >> np.uint64(64 - bits)).astype(np.int32)
+        of = np.repeat(np.arange(len(own), dtype=np.int32), sizes)
+        if hot is not None:
+            number = np.minimum(np.searchsorted(hot[0], h), len(hot[0]) - 1)
+            there = np.flatnonzero(hot[0][number] == h)
+            dealt = word_hashes.mixed(h[there] ^ names[of[there]].view(np.uint64))
+            part[there] = -1 - (dealt >> np.uint64(64 - bits)).astype(np.int32)
+            h[there] = number[there].astype(np.uint64)
         order = np.argsort(part, kind="stable").astype(np.int32)
         low = h[order].view(np.uint8).reshape(-1, 8)[:, : LOW // 8]
-        of = np.repeat(np.arange(len(own), dtype=np.int32), sizes)[order]
-        first = np.flatnonzero(np.diff(part[order], prepend=-1))
+        of = of[order]
+        first = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) != 0]))
         rows = []
         for a, b in zip(first, [*first[1:], len(h)], strict=True):
             there, n = np.unique(of[a:b], return_counts=True)
@@ -133,9 +196,17 @@ def numbers(column: pd.Series, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column), kind)
 
 
-def shared_shingles(blobs: DataFrame, bits: int, parts: int) -> DataFrame:
+def shared_shingles(blobs: DataFrame, bits: int, parts: int, hot: Hot | None = None) -> DataFrame:
     """Of each range and part of the classes: the classes, sizes and shingles that two classes or more have, with frequencies."""
 
+    def once(h: np.ndarray, of: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A class comes once for each block that holds it; here every shingle of it once."""
+        order = np.lexsort((names[of], h))
+        h, of = h[order], of[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (names[of[1:]] != names[of[:-1]])
+        return h[new], of[new]
+
     def in_common(h: np.ndarray, of: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of shingles and the numbers of their classes: those that two classes or more have, and how many have them."""
         order = np.argsort(h, kind="stable")
@@ -144,12 +215,7 @@ def shared_shingles(blobs: DataFrame, bits: int, parts: int) -> DataFrame:
         same[1:-1] = h[1:] == h[:-1]
         more = same[1:] | same[:-1]
         h, of = h[more], of[more]
-        # A class comes once for each block that holds it.
-        order = np.lexsort((names[of], h))
-        h, of = h[order], of[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (names[of[1:]] != names[of[:-1]])
-        h, of = h[new], of[new]
+        h, of = once(h, of, names)
         _, back, frequency = np.unique(h, return_inverse=True, return_counts=True)
         keep = frequency[back] > 1
         return h[keep], of[keep], frequency[back][keep].astype(np.int32)
@@ -163,13 +229,18 @@ def shared_shingles(blobs: DataFrame, bits: int, parts: int) -> DataFrame:
             own = np.flatnonzero(raw[:, 0] % STEPS == step)
             h = np.zeros((len(own), 8), np.uint8)
             h[:, : LOW // 8] = raw[own]
-            found.append(in_common(h.view(np.uint64).ravel(), of[own], names))
+            h = h.view(np.uint64).ravel()
+            if key[0] < 0:
+                h, own = once(h, of[own], names)
+                found.append((hot[0][h.astype(np.int64)], own, hot[1][h.astype(np.int64)]))
+            else:
+                found.append(in_common(h, of[own], names))
         h, of, frequency = (np.concatenate(x) for x in zip(*found, strict=True))
         part = names[of] % parts
         order = np.lexsort((names[of], part))
         h, of, frequency, part = h[order], of[order], frequency[order], part[order]
-        # The range holds the upper bits; where both hold a bit they agree.
-        whole = (h | (np.uint64(key[0]) << np.uint64(64 - bits))).view(np.int64)
+        # The range holds the upper bits of what is not hot; where both hold a bit they agree.
+        whole = (h if key[0] < 0 else h | (np.uint64(key[0]) << np.uint64(64 - bits))).view(np.int64)
         ends = np.searchsorted(part, np.arange(parts + 1))
         rows = []
         for p in np.flatnonzero(ends[1:] > ends[:-1]):
@@ -290,8 +361,9 @@ def links(found: DataFrame, percent: int = PERCENT) -> DataFrame:
 def join(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row, for shingles of n_words words and sets that share percent of their union.
 
-    Null texts and texts without words have no shingles, link with nothing and
-    are components of their own. Rows that repeat an id or a text are kept; a
+    Texts of any length are read whole, a few at a time. Null texts and texts
+    without words have no shingles, link with nothing and are components of
+    their own. Rows that repeat an id or a text are kept; a
     null id is never a component's smallest unless it holds no other.
     """
     rows = stored(classes(docs, n_words), "jaccard-classes")
@@ -299,8 +371,10 @@ def join(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> DataF
     bits = 4
     while size["shingles"] > IN_RANGE << bits:
         bits += 1
-    sent = blobs(docs, bits) if n_words == WORDS else blobs(docs, bits, n_words)
-    shared = shared_shingles(sent, bits, 1 << bits)
+    words = {} if n_words == WORDS else {"n_words": n_words}
+    hot = hot_shingles(rows, size["shingles"])
+    known = {"hot": hot} if len(hot[0]) else {}
+    shared = shared_shingles(blobs(docs, bits, **words, **known), bits, 1 << bits, **known)
     found = stored(candidates(shared, percent), "jaccard-candidates")
     linked = links(found, percent)
     label = components(linked, "jaccard")

@@ -74,6 +74,37 @@ def test_join_with_many_ranges(documents, monkeypatch):
     assert sorted(map(tuple, jaccard_join.join(documents(rows)).collect())) == sorted(slow_components(rows))
 
 
+@pytest.mark.parametrize("often, hot, most", [(1, 1, 10**6), (2, 3, 10**6), (8, 20, 4), (2, 10**9, 10**6)])
+def test_join_with_hot_shingles(documents, monkeypatch, often, hot, most):
+    """Every shingle hot, some of them, few of them at most, none: the same components, with a license in nearly all texts and copies in all blocks."""
+    for name, value in (("OFTEN", often), ("HOT", hot), ("HOT_SHINGLES", most), ("IN_BLOCK", 300)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng = random.Random(hot)
+    texts = [*near_copies(12, 60, rng), *near_copies(12, 40, rng), *[" ".join(rng.choice("abcdefghij") * 2 for _ in range(rng.randint(3, 50))) for _ in range(60)]]
+    license_line = "all of this may be used by any one who keeps this line as it is"
+    texts = [x if rng.random() < 0.1 else f"{x} {license_line}" for x in texts] + [license_line] * 40 + [None, ""]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    assert sorted(map(tuple, jaccard_join.join(documents(rows)).collect())) == sorted(slow_components(rows))
+
+
+def test_holders_of_a_hot_shingle_are_dealt_over_the_ranges(documents, monkeypatch):
+    """One line in all of 2,000 texts: counted beforehand, none of its holders in a range by shingle, and no range with many of them."""
+    monkeypatch.setattr(jaccard_join, "HOT", 1000)
+    rng = random.Random(1)
+    docs = documents([f"one line that all have {' '.join(f'w{rng.randint(0, 10**9)}' for _ in range(8))}" for _ in range(2000)])
+    rows = jaccard_join.classes(docs)
+    hot = jaccard_join.hot_shingles(rows, rows.agg(F.sum("n_shingles")).first()[0])
+    assert len(hot[0]) == 2 and (hot[1] == 2000).all() and (hot[0][:-1] < hot[0][1:]).all()
+    holders: dict[int, int] = {}
+    for r in jaccard_join.blobs(docs, 4, hot=hot).collect():
+        holders[r.range] = holders.get(r.range, 0) + int(np.frombuffer(r.n, np.int32).sum())
+    dealt = [n for k, n in holders.items() if k < 0]
+    assert len(dealt) == 16 and sum(dealt) == 4000 and max(dealt) < 400
+    assert sum(n for k, n in holders.items() if k >= 0) == 2000 * 8
+    assert jaccard_join.join(docs).filter("doc_id <> component_id").count() == 0
+
+
 def test_join_of_nothing(documents):
     assert jaccard_join.join(documents([])).count() == 0
     assert [tuple(r) for r in jaccard_join.join(documents([(5, None)])).collect()] == [(5, 0, 5)]
