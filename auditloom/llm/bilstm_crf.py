@@ -132,18 +132,69 @@ class BiLstmCrf:
             p[k] -= (rate * (self.m[k] / (1 - 0.9**self.steps)) / (np.sqrt(self.v[k] / (1 - 0.999**self.steps)) + 1e-8)).astype(np.float32)
         return loss
 
-    def decode(self, x: np.ndarray) -> np.ndarray:
-        """The likeliest labels (Viterbi) of each window."""
-        e = self.emissions(x)
-        n, length, _ = e.shape
-        A, came = self.p["A"], np.empty(e.shape, np.int8)
-        best = self.p["S"] + e[:, 0]
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """The emissions as (length, labels, windows), for reading alone: nothing is kept from step to step but the last state.
+
+        States, embeddings and a one for the bias stand in one array, so that each step is one product;
+        windows are the last axis, so that the gates are whole stretches of memory.
+        """
+        p, h_size = self.p, self.hidden
+        n, length = x.shape
+        half = np.repeat([0.5, 1], [3 * h_size, h_size])
+        # What is kept of h is its double, (1 + tanh) * tanh(c), which the weights make up for.
+        weights = (np.concatenate([p["U"] / 2, p["W"], p["b"]], axis=1) * half).transpose(0, 2, 1).astype(np.float32)
+        out = (np.stack([p["V"][:h_size], p["V"][h_size:]]) / 2).transpose(0, 2, 1).astype(np.float32)
+        read = np.concatenate([p["E"], np.ones((len(p["E"]), 1))], axis=1).astype(np.float32)[x.T].transpose(0, 2, 1)
+        state = np.zeros((2, h_size + read.shape[1], n), np.float32)
+        z, c, squashed = np.empty((2, 4 * h_size, n), np.float32), np.zeros((2, h_size, n), np.float32), np.empty((2, h_size, n), np.float32)
+        found = np.empty((length, 2, len(p["c"]), n), np.float32)
+        i, f, o, g = (z[:, k * h_size : (k + 1) * h_size] for k in range(4))
+        for t in range(length):
+            state[0, h_size:], state[1, h_size:] = read[t], read[length - 1 - t]
+            np.matmul(weights, state, out=z)
+            np.tanh(z, out=z)
+            z[:, : 3 * h_size] += 1
+            c *= f
+            i *= g
+            c += i
+            c *= 0.5
+            np.tanh(c, out=squashed)
+            np.multiply(o, squashed, out=state[:, :h_size])
+            np.matmul(out, state[:, :h_size], out=found[t])
+        return found[:, 0] + found[::-1, 1] + p["c"][:, None].astype(np.float32)
+
+    def decode(self, x: np.ndarray, at_once: int = 256) -> np.ndarray:
+        """The likeliest labels (Viterbi) of each window.
+
+        A window has label 0 throughout if at no place another label is worth more than 0 with
+        the best transition to it and the one back to 0 (less what the label before would pay
+        for that); then there is nothing to search for.
+        """
+        A, S = self.p["A"].astype(np.float32), self.p["S"].astype(np.float32)
+        back = A[:, 0] - A[0, 0]
+        into = np.maximum((A - back[:, None]).max(0) - A[0, 0], S - S[0]) + back
+        y, rest, left = np.zeros(x.shape, np.int8), [], []
+        for start in range(0, len(x), at_once):
+            e = self.scores(x[start : start + at_once])
+            worth = e[:, 1:] + into[1:, None]
+            worth[-1] -= back[1:, None]  # at the end there is no way back to pay
+            own = np.flatnonzero((worth.max(1) >= e[:, 0]).any(0))
+            rest.append(own + start)
+            left.append(e[:, :, own])
+        if sum(map(len, rest)):
+            y[np.concatenate(rest)] = self.searched(np.concatenate(left, axis=2))
+        return y
+
+    def searched(self, e: np.ndarray) -> np.ndarray:
+        """The likeliest labels by (length, labels, windows) of emissions; of equal ones the first."""
+        length, _, n = e.shape
+        A, best = self.p["A"].astype(np.float32), np.empty(e.shape, np.float32)
+        best[0] = self.p["S"][:, None] + e[0]
         for t in range(1, length):
-            through = best[:, :, None] + A
-            came[:, t] = through.argmax(1)
-            best = through.max(1) + e[:, t]
+            np.maximum.reduce(best[t - 1][:, None] + A[:, :, None], axis=0, out=best[t])
+            best[t] += e[t]
         y = np.empty((n, length), np.int8)
-        y[:, -1] = best.argmax(1)
+        y[:, -1] = best[-1].argmax(0)
         for t in range(length - 1, 0, -1):
-            y[:, t - 1] = came[np.arange(n), t, y[:, t]]
+            y[:, t - 1] = (best[t - 1] + A[:, y[:, t]]).argmax(0)
         return y

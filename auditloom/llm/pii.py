@@ -3,11 +3,10 @@
 The patterns give the base spans (``base_spans``). The tagger is trained on
 labelled spans: those that the patterns find in a bounded sample of documents,
 and spans in other ways of writing, put into pieces of the sample's text. It
-reads overlapping windows around every character that each of its kinds must
-hold (a digit, an @ or a bracketed "at"); each character takes its label from
-the window that shows most of its surroundings, and the spans that result are
-joined over the whole text. A tagged span counts if it touches no base span and
-holds what its kind must: a number of digits, a Luhn sum, four small numbers, or
+reads every text from its first character to its last in overlapping windows;
+each character takes its label from the window that shows most of its
+surroundings, and the spans that result are joined over the whole text. A
+tagged span counts if it touches no base span and holds what its kind must: a number of digits, a Luhn sum, four small numbers, or
 a name, an at, and a domain with a dot; how these are written is the tagger's.
 """
 
@@ -36,7 +35,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 Span = tuple[str, int, int]
 
 LABELS = 1 + 2 * len(KINDS)  # outside, then first and further character of each kind
-WINDOW, STRIDE, AROUND = 64, 32, 40
+#: Windows that are read, and how far apart they begin; windows learned from; how much stands around a span that is learned from.
+WINDOW, STRIDE, LEARNED, AROUND = 256, 224, 64, 40
+#: What stretches without spans are learned from must not hold; it plays no part in reading.
 TRIGGER = re.compile(r"[0-9@]|[\[({<]\s?at\s?[\])}>]|\sdot\s", re.I)
 OTHER = 96
 
@@ -106,53 +107,46 @@ def base_spans(text: str) -> list[Span]:
     return [*emails(text), *addresses(text), *cards(text), *phones(text)]
 
 
+#: By code point, with one entry for all from 127 on.
+NUMBERS = np.array([OTHER - 1] * 32 + list(range(95)) + [OTHER], np.uint8)
+
+
 def numbers(text: str) -> np.ndarray:
     """A number for each character: printable ASCII has its own, control characters share one, and so does the rest."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    return np.where((codes >= 32) & (codes < 127), codes - 32, np.where(codes < 32, OTHER - 1, OTHER))
+    codes = np.frombuffer(text.encode(), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return NUMBERS[np.minimum(codes, 127)]
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches around the triggers, apart from each other."""
-    found: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        if found and m.start() - AROUND <= found[-1][1]:
-            found[-1][1] = m.end() + AROUND
-        else:
-            found.append([max(0, m.start() - AROUND), m.end() + AROUND])
-    return [(a, min(b, len(text))) for a, b in found]
+    """The stretches that are read: every text whole."""
+    return [(0, len(text))] if text else []
 
 
 def windows(start: int, end: int) -> list[int]:
-    """Where the windows over a stretch begin."""
+    """Where the windows over a stretch begin; the last one reaches its end."""
     return [start, *range(start + STRIDE, max(start + 1, end - WINDOW + STRIDE), STRIDE)]
 
 
-def decode(model: BiLstmCrf, texts: list[str], at_once: int = 512) -> list[np.ndarray]:
-    """Labels of every character of each text; 0 outside of the regions. A text of any length is read in batches of windows."""
+def decode(model: BiLstmCrf, texts: list[str], at_once: int = 1024) -> list[np.ndarray]:
+    """Labels of every character of each text. A text of any length is read in batches of windows."""
     labels = [np.zeros(len(x), np.int8) for x in texts]
-    waiting: list[tuple[int, int, np.ndarray]] = []
+    codes, waiting = np.empty((at_once, WINDOW), np.uint8), []
 
     def run() -> None:
-        if not waiting:
-            return
-        found = model.decode(np.stack([x for _, _, x in waiting]))
-        for (k, start, _), own in zip(waiting, found, strict=True):
-            size = min(WINDOW, len(labels[k]) - start)
-            # Windows come from left to right; up to the middle of the overlap the earlier one has seen more.
-            first = 0 if start not in follows[k] else STRIDE // 2
-            labels[k][start + first : start + size] = own[first:size]
+        for (k, start, first), own in zip(waiting, model.decode(codes[: len(waiting)]) if waiting else [], strict=True):
+            labels[k][start + first : start + WINDOW] = own[first : len(labels[k]) - start]
         waiting.clear()
 
-    follows: list[set[int]] = [set() for _ in texts]
     for k, text in enumerate(texts):
         for start, end in regions(text):
-            codes = numbers(text[start : end + WINDOW])
             places = windows(start, end)
-            follows[k].update(places[1:])
-            for w in places:
-                own = codes[w - start : w - start + WINDOW]
-                waiting.append((k, w, np.pad(own, (0, WINDOW - len(own)), constant_values=OTHER - 1)))
+            for at, w in enumerate(places):
+                if at % 64 == 0:
+                    begin, some = w, numbers(text[w : places[min(at + 63, len(places) - 1)] + WINDOW])
+                own = some[w - begin : w - begin + WINDOW]
+                codes[len(waiting), : len(own)], codes[len(waiting), len(own) :] = own, OTHER - 1
+                # Windows come from left to right; up to the middle of the overlap the earlier one has seen more.
+                waiting.append((k, w, (WINDOW - STRIDE) // 2 if w > start else 0))
                 if len(waiting) == at_once:
                     run()
     run()
@@ -266,8 +260,8 @@ def stretches(text: str) -> Iterator[tuple[str, list[Span]]]:
         start, end = max(0, a - AROUND), min(len(text), b + AROUND)
         own = order[bisect.bisect_left(firsts, start) : bisect.bisect_left(firsts, end)]
         yield text[start:end], [(kind, x - start, min(y, end) - start) for kind, x, y in own]
-    for start in range(0, len(text), 2 * WINDOW):
-        piece = text[start : start + 2 * WINDOW]
+    for start in range(0, len(text), 2 * LEARNED):
+        piece = text[start : start + 2 * LEARNED]
         if len(piece) > 20 and not TRIGGER.search(piece):
             yield piece, []
 
@@ -284,19 +278,19 @@ def examples(pieces: list[tuple[str, list[Span]]], n: int, seed: int) -> tuple[n
             y[a:b] = 2 * KINDS.index(kind) + 2
             y[a] -= 1
         start = max(0, min(start, len(text) - 1))
-        x, y = numbers(text)[start : start + WINDOW], y[start : start + WINDOW]
-        xs.append(np.pad(x, (0, WINDOW - len(x)), constant_values=OTHER - 1))
-        ys.append(np.pad(y, (0, WINDOW - len(y))))
+        x, y = numbers(text)[start : start + LEARNED], y[start : start + LEARNED]
+        xs.append(np.pad(x, (0, LEARNED - len(x)), constant_values=OTHER - 1))
+        ys.append(np.pad(y, (0, LEARNED - len(y))))
 
     for _ in range(n):
         own = plain[int(rng.integers(len(plain)))]
         cut = int(rng.integers(0, len(own)))
-        before, after = own[max(0, cut - 64) : cut], own[cut : cut + 64]
+        before, after = own[max(0, cut - LEARNED) : cut], own[cut : cut + LEARNED]
         kind, text = invented(rng)
         before = before if not before or rng.random() < 0.1 else before.rstrip() + (" ", "\n", " (", ": ")[int(rng.integers(4))]
         after = (" ", ", ", ". ", "\n", ") ")[int(rng.integers(5))] + after
         spans = [(kind, len(before), len(before) + len(text))] if kind else []
-        add(before + text + after, spans, len(before) - int(rng.integers(0, 48)))
+        add(before + text + after, spans, len(before) - int(rng.integers(0, LEARNED - 16)))
     for text, spans in pieces:
         if spans:
             add(text, spans, int(rng.integers(0, AROUND)))
@@ -324,7 +318,7 @@ def sample(docs: DataFrame, rows: int, pieces: int) -> list[tuple[str, list[Span
     return [(r["piece"], read(r["spans"])) for r in found]
 
 
-def train(docs: DataFrame, rows: int = 300, pieces: int = 600, invented_windows: int = 4000, epochs: int = 7, seed: int = 5) -> BiLstmCrf:
+def train(docs: DataFrame, rows: int = 300, pieces: int = 600, invented_windows: int = 6000, epochs: int = 7, seed: int = 5) -> BiLstmCrf:
     """A tagger trained on labelled spans: those that the patterns find in a bounded sample, and invented ones put into its text (see sample)."""
     x, y = examples(sample(docs, rows, pieces), invented_windows, seed)
     model, rng = BiLstmCrf(OTHER + 1, LABELS), np.random.default_rng(seed)

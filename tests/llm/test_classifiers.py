@@ -550,3 +550,24 @@ def test_tagged_phones_that_begin_like_a_year(documents, tagger):
     rows = [(k, f"please call {x} or write to the office about it") for k, x in enumerate(numbers)]
     found = sum("phone" in r.spans for r in pii.find(documents(rows), tagger).collect())
     assert found >= 14
+
+
+def test_every_character_is_read(tagger):
+    """Texts without digits or signs too, of any length; labels are those of a search through every window."""
+
+    class Marks:
+        def decode(self, x):
+            return (x == pii.numbers("z")[0]).astype(np.int8)
+
+    rng = random.Random(8)
+    for size in (0, 1, 5, pii.WINDOW, pii.WINDOW + 1, 3 * pii.WINDOW, 70 * pii.WINDOW + 13):
+        text = "".join(rng.choice("abz é\n") for _ in range(size))
+        for at_once in (3, 1024):
+            assert pii.decode(Marks(), [text, "z", text], at_once)[0].tolist() == [int(x == "z") for x in text]
+    text = "so write to anna at example.org or ask"
+    labels = np.zeros(len(text), np.int8)
+    labels[12:31], labels[12] = 2, 1
+    read = type("Read", (), {"decode": lambda _, x: np.pad(np.stack([labels] * len(x)), ((0, 0), (0, pii.WINDOW - len(text))))})()
+    assert pii.all_spans(text, [], pii.decode(read, [text])[0]) == [("email", 12, 31)]
+    x, _ = pii.examples([("some plain words that stand around here and there " * 4, [])], 600, seed=3)
+    assert (tagger.decode(x, 100) == tagger.searched(tagger.scores(x))).all() and np.allclose(tagger.scores(x[:50]).transpose(2, 0, 1), tagger.emissions(x[:50]), atol=1e-3)
