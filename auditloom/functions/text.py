@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 # What the rules look for.
 WS = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The same, as characters.
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 DASH = "[-–]"
 TRAILING_YEAR = rf"{DASH}{WS}*(20[0-9]{{2}}){WS}*$"
 YEAR_RANGE = rf"(20[0-9]{{2}}){WS}*{DASH}{WS}*(20[0-9]{{2}})"
@@ -31,7 +33,7 @@ STOP_TOKENS = ["a", "an", "and", "for", "in", "of", "the", "to", "with", "global
 
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def squeeze(c: Column) -> Column:

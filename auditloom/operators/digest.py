@@ -194,4 +194,6 @@ def upsert_actions(wanted: DataFrame, existing: DataFrame) -> DataFrame:
 
 def changed(issues: DataFrame, rendered: str = "rendered") -> DataFrame:
     """Issues whose body would become another one."""
-    return issues.filter(F.col(rendered) != F.coalesce("body", F.lit("")))
+    # A filter would be pushed below the columns that it compares, and parse and write every body once more for it.
+    numbered_rows = issues.withColumn("_row", F.monotonically_increasing_id())
+    return numbered_rows.filter((F.col("_row") >= 0) & (F.col(rendered) != F.coalesce("body", F.lit("")))).drop("_row")

@@ -6,6 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Rows that a task gets where rows are dealt out anew.
+TASK_ROWS = 50_000
+
+
+def tasks(rows: DataFrame) -> int:
+    """How many tasks rows are dealt over: one for each core at least, and more of them as the rows grow, not larger ones. Counts the rows."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+
+
 #: Bounds between the stretches of the order, of which each is numbered by one task.
 BOUNDS = 255
 

@@ -346,3 +346,30 @@ def test_numbers_without_one_task_for_all(spark):
         assert len(got) == len(keys) and {r.key: r.number for r in got} == want and all(r.size == len(r.key or "") for r in got)
     assert numbered(rows.limit(0), "key", "number").count() == 0
     assert [r.number for r in numbered(rows.filter("key is null"), "key", "number").collect()] == [1]
+
+
+def test_tables_are_dealt_by_rows(spark, tmp_path, monkeypatch):
+    """One file of one row group is dealt over more tasks the more rows it has."""
+    from auditloom.operators import numbering
+    from auditloom.plans import queries
+
+    spark.range(3000).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    monkeypatch.setattr(numbering, "TASK_ROWS", 100)
+    sizes = [r["n"] for r in queries.customer_issues(spark, str(tmp_path)).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 3000 and len(sizes) >= 30 and max(sizes) < 200
+
+
+def test_backfill_parses_a_body_once(spark):
+    """The condition on the new body does not parse and write bodies a second time."""
+    issues = spark.createDataFrame([(f"{digest.ISSUE_PREFIX} x", "# Alert\n\n### One (a, b, confidence 0.9)\nwhy", 1, "open", None, "u")], "title string, body string, number long, state string, pull_request string, html_url string")
+    plan = api.backfill_actions(issues)
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("## Findings") == 1 and plan.count() == 1
+
+
+def test_strip_takes_the_same_white_space_off(spark):
+    from auditloom.functions import text as t
+
+    made = spark.createDataFrame([(chr(k),) for k in range(0x3100)], "c string").select(F.concat("c", "c", F.lit("x c"), "c").alias("s"))
+    old = F.regexp_replace("s", rf"^{t.WS}+|{t.WS}+$", "")
+    assert made.filter(t.strip(F.col("s")) != old).count() == 0
