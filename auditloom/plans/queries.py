@@ -706,7 +706,7 @@ def q30_exact_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "<p>The market of <i>", name, "</i> is read by many people\n in all of the regions</p><p>A short market</p><p>The Key Players of ", F.col("p_brand"), " went on acquiring others in the year</p>",
         '<script type="application/ld+json">{"@graph": [{"@type": "FAQPage", "datePublished": "d', k, '", "mainEntity": [{"name": "Q', k, '", "acceptedAnswer": {"text": "A &amp; B"}}]}]}</script></body></html>',
     )
-    read = pages.report_pages(table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand").select(cat("r/", k).alias("url"), html.alias("html")))
+    read = pages.report_pages(spread(table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand")).select(cat("r/", k).alias("url"), html.alias("html")))
     return read.select("url", "page_title", "h1", "lead_summary", "meta_description", "publish_date", F.array_join("summary_paragraphs", "|").alias("summary"), F.array_join("competitive_paragraphs", "|").alias("competitive"), F.array_join(F.transform("faq_items", lambda x: F.concat_ws("=", x["question"], x["answer"])), "|").alias("faq"))
 
 

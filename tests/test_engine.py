@@ -373,3 +373,13 @@ def test_strip_takes_the_same_white_space_off(spark):
     made = spark.createDataFrame([(chr(k),) for k in range(0x3100)], "c string").select(F.concat("c", "c", F.lit("x c"), "c").alias("s"))
     old = F.regexp_replace("s", rf"^{t.WS}+|{t.WS}+$", "")
     assert made.filter(t.strip(F.col("s")) != old).count() == 0
+
+
+def test_exact_pages_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    """One file of one row group is dealt over more tasks the more rows it has, before the trees are read."""
+    from auditloom.operators import numbering
+    from auditloom.plans import queries
+
+    spark.range(900).select(F.col("id").alias("p_partkey"), F.lit("steam trap").alias("p_name"), F.lit("b").alias("p_brand")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    monkeypatch.setattr(numbering, "TASK_ROWS", 100)
+    assert queries.q30_exact_pages(spark, str(tmp_path)).rdd.getNumPartitions() >= 9
