@@ -318,7 +318,7 @@ def sample(docs: DataFrame, rows: int, pieces: int) -> list[tuple[str, list[Span
     return [(r["piece"], read(r["spans"])) for r in found]
 
 
-def train(docs: DataFrame, rows: int = 300, pieces: int = 600, invented_windows: int = 6000, epochs: int = 7, seed: int = 5) -> BiLstmCrf:
+def train(docs: DataFrame, rows: int = 300, pieces: int = 600, invented_windows: int = 8000, epochs: int = 7, seed: int = 5) -> BiLstmCrf:
     """A tagger trained on labelled spans: those that the patterns find in a bounded sample, and invented ones put into its text (see sample)."""
     x, y = examples(sample(docs, rows, pieces), invented_windows, seed)
     model, rng = BiLstmCrf(OTHER + 1, LABELS), np.random.default_rng(seed)
