@@ -8,6 +8,7 @@ Text that holds no value gives null.
 from __future__ import annotations
 
 import datetime as dt
+import functools
 from collections.abc import Callable, Iterable
 from zoneinfo import ZoneInfo
 
@@ -23,7 +24,7 @@ TRAILING_YEAR = rf"{DASH}{WS}*(20[0-9]{{2}}){WS}*$"
 YEAR_RANGE = rf"(20[0-9]{{2}}){WS}*{DASH}{WS}*(20[0-9]{{2}})"
 YEAR_AFTER_BY = rf"(?i)\bby{WS}+(20[0-9]{{2}})\b"
 STATED_GROWTH = rf"(?i)cagr of{WS}+([0-9.]+)%"
-AMOUNT = rf"usd{WS}+([0-9.]+){WS}+(billion|million|thousand)"
+AMOUNT = rf"usd{WS}+([0-9.]+{WS}+(?:billion|million|thousand))"
 #: In the order in which they are tried; a point stands for all but a line feed.
 START_AMOUNT = [rf"(?:valued at|worth){WS}+{AMOUNT}", rf"(?d)in{WS}+20[0-9]{{2}}.*?{AMOUNT}"]
 END_AMOUNT = [rf"reach{WS}+{AMOUNT}{WS}+by{WS}+20[0-9]{{2}}"]
@@ -77,15 +78,14 @@ def stated_growth(c: Column) -> Column:
 
 
 def amount_match(lowered: Column, patterns: list[str]) -> Column:
-    """What the first of the patterns that matches has matched in a lower-cased text. Where there is no unit of money, nothing is looked for."""
-    return F.when(F.contains(lowered, F.lit("usd")), F.coalesce(*(group(lowered, p, 0) for p in patterns)))
+    """Number and unit as the first of the patterns that matches finds them in a lower-cased text. Where there is no unit of money, nothing is looked for."""
+    return F.when(F.contains(lowered, F.lit("usd")), F.coalesce(*(group(lowered, p) for p in patterns)))
 
 
 def matched_amount(match: Column) -> Column:
-    """The amount of a match, in single units. A match is short, so that it may be read more than once."""
-    unit = group(match, AMOUNT, 2)
-    scale = F.when(unit == "thousand", F.lit(UNITS["thousand"])).when(unit == "million", F.lit(UNITS["million"])).when(unit == "billion", F.lit(UNITS["billion"]))
-    return group(match, AMOUNT).try_cast("double") * scale
+    """The amount of a match, in single units. A match is a number, white space and a unit, so that no pattern is needed to take it apart."""
+    scale = F.when(match.endswith("thousand"), F.lit(UNITS["thousand"])).when(match.endswith("million"), F.lit(UNITS["million"])).when(match.endswith("billion"), F.lit(UNITS["billion"]))
+    return F.btrim(match, F.lit(SPACES + "abcdefghijklmnopqrstuvwxyz")).try_cast("double") * scale
 
 
 def amount(c: Column, patterns: list[str]) -> Column:
@@ -130,12 +130,13 @@ def normalized_title(c: Column, fold: Callable[[Column], Column] | None = None)
 def singular_token(x: Column) -> Column:
     """A token without its plural ending, by ordered rules; up to three characters stay."""
     long, size = F.length(x) > 4, F.length(x)
+    ends = lambda *endings: functools.reduce(Column.__or__, (x.endswith(y) for y in endings))
     cut = lambda n: F.substring(x, F.lit(1), size - n)
     return (
         F.when(size <= 3, x)
         .when(long & x.endswith("ies"), F.concat(cut(3), F.lit("y")))
-        .when(long & x.rlike("(sses|shes|ches|xes|zes|oes)$"), cut(2))
-        .when(x.endswith("s") & ~x.rlike("(ss|us|is)$"), cut(1))
+        .when(long & ends("sses", "shes", "ches", "xes", "zes", "oes"), cut(2))
+        .when(x.endswith("s") & ~ends("ss", "us", "is"), cut(1))
         .otherwise(x)
     )
 

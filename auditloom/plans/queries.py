@@ -170,7 +170,7 @@ SELECT i.pos, CASE WHEN i.pos = first THEN second ELSE first END AS other FROM i
 def q05_dup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every part the first other part of the same title."""
     index = part_index(spark, sf_dir, F.col("p_name"))
-    found = titles.duplicates(index, index)
+    found = titles.duplicates(index, index, dealt_over=numbering.tasks(table(spark, sf_dir, "part")))
     return found.select("pos", F.when(F.col("match.kind") == "exact", F.regexp_extract("match.url", "([0-9]+)$", 1).cast("bigint")).alias("other"))
 
 
@@ -185,7 +185,7 @@ def q06_dup_plural(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first other part of the same title, or the last one that differs in a plural."""
     name = cat(F.lower("p_name"), " part", F.floor(F.col("p_partkey") / 3), F.when(F.col("p_partkey") % 2 == 0, "s").otherwise(""))
     index = part_index(spark, sf_dir, name)
-    found = titles.duplicates(index, index)
+    found = titles.duplicates(index, index, dealt_over=numbering.tasks(table(spark, sf_dir, "part")))
     return found.select("pos", F.col("match.kind").alias("kind"), F.regexp_extract("match.url", "([0-9]+)$", 1).cast("bigint").alias("other"))
 
 
@@ -426,7 +426,9 @@ def q17_digest_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ISSUES_SQL + "SELECT m.key, number::INT AS number, html_url, nth, row_number() OVER (PARTITION BY m.key ORDER BY lower(report_title), report_url, html_url, nth)::INT AS place FROM m JOIN g USING (key)")
 def q17b_digest_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The findings of each group and their order in it."""
-    return digest.digest_members(order_issues(spark, sf_dir)).select("key", "number", "html_url", F.col("at").alias("nth"), "place")
+    # Two findings an issue.
+    dealt_over = 2 * numbering.tasks(table(spark, sf_dir, "orders"))
+    return digest.digest_members(order_issues(spark, sf_dir), dealt_over).select("key", "number", "html_url", F.col("at").alias("nth"), "place")
 
 
 def issue_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
