@@ -158,7 +158,7 @@ def q04_singularize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_index(spark: SparkSession, sf_dir: str, name) -> DataFrame:
-    parts = table(spark, sf_dir, "part", "p_partkey", "p_name").select(cat("https://x.example/", F.col("p_partkey")).alias("url"), name.alias("title"), F.col("p_partkey").alias("pos"))
+    parts = spread(table(spark, sf_dir, "part", "p_partkey", "p_name")).select(cat("https://x.example/", F.col("p_partkey")).alias("url"), name.alias("title"), F.col("p_partkey").alias("pos"))
     return titles.with_title_keys(parts, F.col("title"), fold=False)
 
 
